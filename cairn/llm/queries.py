@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup, mixing
+from cairn.llm import exact_dedup, mixing, simhash, token_count
 from cairn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,19 @@ FROM documents
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = token_count.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary, limit=4096)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), width=3, distance=3)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup}
+    return {"op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op4_token_counts": op4_token_counts, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
