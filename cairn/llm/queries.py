@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mixing, simhash, token_count
+from cairn.llm import exact_dedup, langid, mixing, packing, simhash, token_count, topk
 from cairn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,10 @@ FROM documents
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,13 +73,44 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary, limit=4096)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words; no bin holds two documents of one source or two copies of one text."""
+    docs = table(spark, sf_dir, "documents")
+    copies = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return packing.pack_documents(docs, size=mixing.word_count(F.col("text")), source=F.col("source"), cluster=copies, capacity=2048)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op2_exact_dedup": op2_exact_dedup, "op4_token_counts": op4_token_counts, "op9_simhash": op9_simhash}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_token_counts": op4_token_counts,
+        "op8_topk": op8_topk,
+        "op9_simhash": op9_simhash,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_topk": OP8_SQL}

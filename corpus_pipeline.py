@@ -1,11 +1,57 @@
-"""The corpus pipeline (filled in stage by stage)."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing to source weights, packing into bins.
+
+Each stage reads all its predecessor kept. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import exact_dedup, langid, mixing, packing, simhash
+from cairn.llm.common import scratch
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; those without a letter (`und`) go."""
+    model = langid.train(docs)
+    return langid.predict(docs, model, keep=("text", "lang", "source", "n_chars")).filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return exact_dedup.drop_duplicates(docs, keep="largest").select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs, width=3, distance=3).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times."""
+    taken = mixing.mix_sources(docs).filter("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats")
+    out = docs.join(taken.groupBy("_id").agg(F.max("repeats").alias("repeats")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and place of every document's words; repeats of a document share no bin, nor do documents of one source."""
+    copies = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return packing.pack_documents(docs, size=mixing.word_count(F.col("text")), source=F.col("source"), cluster=copies, capacity=2048)
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing to weights", mix), ("best-fit packing", pack)]
 
-STAGES: list = []
+#: Language ID, SimHash and packing are not expressible in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; each result is written to the shared folder and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch(spark, f"stage-{name.split()[0].lower()}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
