@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, langid, mixing, packing, simhash, token_count, topk
+from cairn.llm import exact_dedup, langid, licenses, mixing, packing, simhash, token_count, topk
 from cairn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary, limit=4096)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -106,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
+        "op5_licenses": op5_licenses,
         "op8_topk": op8_topk,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
@@ -113,4 +118,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_topk": OP8_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_licenses": licenses.oracle_sql(), "op8_topk": OP8_SQL}
