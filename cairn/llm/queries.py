@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, langid, licenses, mixing, packing, simhash, token_count, topk
+from cairn.llm import exact_dedup, langid, licenses, mixing, packing, simhash, token_count, topk, toxicity
 from cairn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cutoff=0.7)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -111,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
+        "op7_toxicity": op7_toxicity,
         "op8_topk": op8_topk,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
