@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, langid, licenses, mixing, packing, simhash, token_count, topk, toxicity
+from cairn.llm import exact_dedup, langid, licenses, mixing, packing, simhash, token_count, topk, toxicity, warc
 from cairn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(table(spark, sf_dir, "pages"), min_revisit=1000)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM q
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cutoff=0.7)
 
@@ -115,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
+        "op6_warc": op6_warc,
         "op7_toxicity": op7_toxicity,
         "op8_topk": op8_topk,
         "op9_simhash": op9_simhash,
@@ -123,4 +137,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_licenses": licenses.oracle_sql(), "op8_topk": OP8_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_licenses": licenses.oracle_sql(), "op6_warc": OP6_SQL, "op8_topk": OP8_SQL}
