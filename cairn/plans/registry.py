@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cairn.operators import dedup  # noqa: F401  registers its queries
+    from cairn.operators import dedup, predicates, scans  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
