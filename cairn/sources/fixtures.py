@@ -66,7 +66,7 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), epoch_s("o_orderdate").alias("at"))
 
 
-SNAPSHOTS = "snapshots AS (SELECT o_orderkey AS id, epoch(date_trunc('second', o_orderdate))::BIGINT AS at FROM orders)"
+SNAPSHOTS = """snapshots AS (SELECT o_orderkey AS id, epoch(date_trunc('second', o_orderdate))::BIGINT AS "at" FROM orders)"""
 
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
