@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cairn.operators import dedup, intervals, predicates, scans, timeline  # noqa: F401  they register their queries
+    from cairn.operators import aggregates, dedup, intervals, ordered, planning, predicates, scans, timeline  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
