@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str, url_col: str,
         try:
             for b in batches:
                 for i in range(len(b)):
-                    out = out or fs.open_output_stream(f"{base}/{name}")
+                    out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
                     page, url, ts, text, digest, ref = (c[i].as_py() for c in b.columns)
                     z = zlib.compressobj(3, zlib.DEFLATED, 31)
                     out.write(z.compress(record(page, url, ts or "", text.encode(), digest, ref)) + z.flush())
@@ -146,7 +146,7 @@ def _write_run(folder: str, lines: Iterator[bytes]) -> tuple[str, int]:
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
     name, n = f"{uuid.uuid4().hex}.run", 0
-    with fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 20) as out:
+    with fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20) as out:
         for line in lines:
             out.write(line)
             n += 1
@@ -159,7 +159,7 @@ def capture_runs(files: DataFrame, folder: str, run_captures: int = RUN_CAPTURES
     def captures(file: str, expected: int) -> Iterator[dict]:
         fs, path = _fs(file)
         n = 0
-        with fs.open_input_stream(path, buffer_size=1 << 20) as stream:
+        with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
             for offset, length, raw in records(stream):
                 head, payload = parse(raw)
                 digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
