@@ -116,13 +116,13 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     An id that stands before several texts is kept for each text that it represents.
     """
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep, **kw)
-    kept = groups.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    kept = groups.filter("kept").select(F.col(id_col).alias("_cairn_id"), F.col("text_sha256").alias("_cairn_sha")).distinct()
     text = kw.get("normalise", lambda c: c)(F.coalesce(F.col(text_col), F.lit("")))
-    on = F.col(id_col).eqNullSafe(F.col("_id"))
+    on = F.col(id_col).eqNullSafe(F.col("_cairn_id"))
     # Only ids that occur twice can stand for repeated rows; they alone are compared row by row.
-    again = docs.groupBy(F.col(id_col).alias("_id")).count().filter("count > 1").select("_id")
+    again = docs.groupBy(F.col(id_col).alias("_cairn_id")).count().filter("count > 1").select("_cairn_id")
     if again.limit(1).count():
-        twice = docs.join(again, on, "left_semi").withColumn("_s", F.sha2(text, 256)).dropDuplicates([id_col, "_s"]).drop("_s")
+        twice = docs.join(again, on, "left_semi").withColumn("_cairn_s", F.sha2(text, 256)).dropDuplicates([id_col, "_cairn_s"]).drop("_cairn_s")
         docs = docs.join(again, on, "left_anti").unionByName(twice)
-    rows = docs.withColumn("_s", F.sha2(text, 256))
-    return rows.join(kept, on & (F.col("_s") == F.col("_sha")), "left_semi").drop("_s")
+    rows = docs.withColumn("_cairn_s", F.sha2(text, 256))
+    return rows.join(kept, on & (F.col("_cairn_s") == F.col("_cairn_sha")), "left_semi").drop("_cairn_s")

@@ -96,33 +96,44 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit(*sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, max_languages=max_languages, max_bytes=max_bytes))
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns of `keep`, lang_pred, score (share of the chosen language, 0 to 1) of every whole text.
-
-    Texts that are null or have no letter get `und` with score 0, as does everything if the model knows no language.
-    Ties go to the language first in order. Repeated rows repeat; other columns are not read.
-    """
+def _scored(docs: DataFrame, model: Model, names: list[str], text_col: str) -> DataFrame:
+    """The named columns, the predicted language and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks floats: of fixed size
+    width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            known = b.column("_known").to_pylist()
-            texts, at = b.column("_text"), [i for i, ok in enumerate(known) if ok and m.langs]
+            texts, known = b.column(width), b.column(width + 1).to_pylist()
+            at = [i for i, ok in enumerate(known) if ok and m.langs]
             langs, score = ["und"] * len(b), np.zeros(len(b))
             for i in range(0, len(at), BATCH):
                 part = at[i : i + BATCH]
                 s = m.scores([texts[j].as_py() for j in part])
                 for j, k, v in zip(part, s.argmax(axis=1), s.max(axis=1), strict=True):
                     langs[j], score[j] = m.langs[k], min(1.0, float(v))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(langs), pa.array(score)], names=[*names, "_cairn_lang", "_cairn_score"])
 
-    names = [id_col, *keep]
-    rows = docs.select(*names, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("_known"))
-    schema = docs.select(*names).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    rows = docs.select(*names, F.col(text_col).alias("_cairn_text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("_cairn_known"))
+    schema = docs.select(*names).withColumns({"_cairn_lang": F.lit("").cast("string"), "_cairn_score": F.lit(0.0)}).schema
     return rows.mapInArrow(run, schema)
 
 
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score (share of the chosen language, 0 to 1) of every whole text.
+
+    Texts that are null or have no letter get `und` with score 0, as does everything if the model knows no language.
+    Ties go to the language first in order. Repeated rows repeat; other columns are not read.
+    """
+    out = _scored(docs, model, [id_col], text_col)
+    return out.select(id_col, F.col("_cairn_lang").alias("lang_pred"), F.col("_cairn_score").alias("score"))
+
+
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows whose language can be told, with all their columns, whatever these are called."""
+    return _scored(docs, model, docs.columns, text_col).filter("_cairn_lang <> 'und'").select(docs.columns)
+
+
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
     """Train on the rows outside the held-out third (crc32 of the id, mod 3, is 1) and predict all: id, held_out, lang_pred, score."""
     model = train(docs.filter(crc_mod3(F.col(id_col)) != 1), id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)

@@ -14,8 +14,7 @@ from cairn.llm.common import scratch
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without a letter (`und`) go."""
-    model = langid.train(docs)
-    return langid.predict(docs, model, keep=("text", "lang", "source", "n_chars")).filter("lang_pred <> 'und'").select(docs.columns)
+    return langid.keep_known(docs, langid.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +29,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    taken = mixing.mix_sources(docs).filter("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats")
-    out = docs.join(taken.groupBy("_id").agg(F.max("repeats").alias("repeats")), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(docs.columns)
+    taken = mixing.mix_sources(docs).filter("repeats > 0").select(F.col("doc_id").alias("_cairn_id"), "repeats")
+    out = docs.join(taken.groupBy("_cairn_id").agg(F.max("repeats").alias("_cairn_repeats")), F.col("doc_id").eqNullSafe(F.col("_cairn_id")))
+    return out.withColumn("_cairn_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cairn_repeats")))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
