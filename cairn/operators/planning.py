@@ -135,7 +135,7 @@ def t8_largest_dirty(spark: SparkSession, d: str) -> DataFrame:
 
 def plan_zones(appends: pd.DataFrame, zones: int, capacity: int) -> pd.DataFrame:
     """Appends (file, seq, len) of one device, in order. A file stays in its zone until that is 85 % full or too small,
-    then takes the lowest empty zone, else the emptiest one under the threshold; -1: no zone fits."""
+    then takes the lowest empty zone, else the lowest one with room, whatever its fill; -1: no zone fits."""
     wp, home, out = [0] * zones, {}, []
     fits = lambda z, n: wp[z] * 10000 // capacity < 8500 and capacity - wp[z] >= n
     for file, n in zip(appends["file"], appends["len"], strict=True):
@@ -143,7 +143,7 @@ def plan_zones(appends: pd.DataFrame, zones: int, capacity: int) -> pd.DataFrame
         if z is None or not fits(z, n):
             z = next((i for i in range(zones) if wp[i] == 0 and fits(i, n)), None)
             if z is None:
-                z = min((i for i in range(zones) if fits(i, n)), key=lambda i: (wp[i], i), default=None)
+                z = next((i for i in range(zones) if 0 < capacity - wp[i] >= n), None)
         if z is None:
             out.append((-1, -1))
             continue
