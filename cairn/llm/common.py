@@ -60,3 +60,13 @@ def lower_ascii(c: Column) -> Column:
 def crc_mod3(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 3; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Bound the Arrow batches between the JVM and Python by rows and bytes: whole texts are long and several buffers hold each."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        try:
+            spark.conf.set(key, str(value))
+        except Exception as e:  # noqa: BLE001  an older engine lacks the second setting
+            if "maxBytes" not in key:
+                raise e

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import drop_stash, stash
+from cairn.llm.common import drop_stash, small_batches, stash
 
 MEMTABLE_BYTES = 24 << 20
 LAST = (1 << 63) - 1
@@ -65,6 +65,7 @@ def build_index(docs: DataFrame, *, id_col: str, text: Column, digest: Callable[
     ident = F.col(id_col).cast("long")
     # Bitwise not reverses the order of longs without overflow.
     key = F.coalesce(ident if keep == "smallest" else F.bitwise_not(ident), F.lit(LAST))
+    small_batches(docs.sparkSession)
     rows = docs.select(digest(text).alias("digest"), text.alias("text"), key.alias("key"))
     runs = stash(rows.mapInArrow(_flush(memtable_bytes), RUN_SCHEMA), "dedup-runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"})
     index = runs.groupBy("digest").agg(

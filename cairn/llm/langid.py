@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import crc_mod3
+from cairn.llm.common import crc_mod3, small_batches
 from cairn.llm.mixing import HASH_BITS, hash60
 
 GRAMS, DIM, BATCH, PART = (1, 2, 3), 1 << 13, 64, 1 << 20
@@ -99,12 +99,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def _scored(docs: DataFrame, model: Model, names: list[str], text_col: str) -> DataFrame:
     """The named columns, the predicted language and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks floats: of fixed size
-    width = len(names)
+    width, own = len(names), names.index(text_col) if text_col in names else len(names) + 1
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            texts, known = b.column(width), b.column(width + 1).to_pylist()
+            known, texts = b.column(width).to_pylist(), b.column(own)
             at = [i for i, ok in enumerate(known) if ok and m.langs]
             langs, score = ["und"] * len(b), np.zeros(len(b))
             for i in range(0, len(at), BATCH):
@@ -114,7 +115,8 @@ def _scored(docs: DataFrame, model: Model, names: list[str], text_col: str) -> D
                     langs[j], score[j] = m.langs[k], min(1.0, float(v))
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(langs), pa.array(score)], names=[*names, "_cairn_lang", "_cairn_score"])
 
-    rows = docs.select(*names, F.col(text_col).alias("_cairn_text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("_cairn_known"))
+    text = [] if text_col in names else [F.col(text_col).alias("_cairn_text")]  # sent once
+    rows = docs.select(*names, F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("_cairn_known"), *text)
     schema = docs.select(*names).withColumns({"_cairn_lang": F.lit("").cast("string"), "_cairn_score": F.lit(0.0)}).schema
     return rows.mapInArrow(run, schema)
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import small_batches
+
 SPACE = "▁"
 CHUNK, MAX_STATES, MAX_WORDS, WORD_CHARS = 1 << 16, 150_000, 300_000, 48
 START = (("", None, 0),)
@@ -227,6 +229,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_
     Null text counts as empty (0 bytes, 0 tokens). Every row is counted by itself, so repeated rows repeat;
     long texts are read in chunks. An empty table gives an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)  # the size of the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch, stash
+from cairn.llm.common import scratch, small_batches, stash
 
 FAN_IN, RUN_CAPTURES, RANGE_CAPTURES, SPLITTER_SAMPLE = 64, 50_000, 20_000, 4096
 READ = 1 << 16
@@ -103,6 +103,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str, url_col: str,
     first = rows.filter(F.col("n") >= min_revisit).groupBy("digest", "n").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     rows = rows.join(first, ["digest", "n"], "left").select("id", "url", "ts", "payload", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
 
+    small_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
