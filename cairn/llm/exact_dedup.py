@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import drop_stash, small_batches, stash
+from cairn.llm.common import drop_stash, maybe_broadcast, small_batches, stash
 
 MEMTABLE_BYTES = 24 << 20
 LAST = (1 << 63) - 1
@@ -93,6 +93,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     clashing = index.filter("clash").limit(1).count() > 0
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), digest(text).alias("digest"))
     copies = index.filter("n > 1 and not clash").select("digest", "key", "n")
+    # Groups of copies are counted: few go to every task, so that a hot text is not dealt by its digest; many are joined by it.
+    copies = maybe_broadcast(copies, copies.count())
     if clashing:
         split = index.runs.join(index.filter("clash").select("digest"), "digest", "left_semi")
         split = split.groupBy("digest", "text").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
