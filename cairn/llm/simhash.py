@@ -88,6 +88,8 @@ def forest(fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.nd
 
 
 def links(post: DataFrame, distance: int) -> DataFrame:
+    small_batches(post.sparkSession, 10_000)  # postings are three numbers
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
