@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.aggregates import log2_q16
+from cairn.operators.aggregates import LOG2_FRACTIONS, log2_q16
 from cairn.operators.predicates import risk_band
 from cairn.plans.registry import query
 from cairn.sources import fixtures as fx
@@ -226,18 +226,23 @@ def x18_cache_models(spark: SparkSession, d: str) -> DataFrame:
 SHAPE, LIFE, WEIGHTS, LN2, YEAR, MOST = 130, 80_000, {"realloc": 40, "pending": 80, "crc": 10, "scrub": 60, "latency": 5}, 45_426, 8760, 876_000
 
 
-def hazard(hours: Column, realloc: Column, pending: Column, crc: Column, scrub: Column, median: Column, p99: Column) -> list[Column]:
-    """(multiplier x100, baseline x100, annual x100, remaining hours): integer steps with truncation, the exponential as four terms."""
+def hazard(drives: DataFrame) -> DataFrame:
+    """drives (hours, realloc, pending, crc, scrub, median, p99) with multiplier, baseline, annual (all x100), remaining hours, band.
+
+    Integer steps with truncation, the exponential as four terms. Each step is a column, so that none is evaluated twice.
+    """
     trunc = lambda x, n: F.when(x < 0, -F.floor(-x / n)).otherwise(F.floor(x / n)).cast("long")
-    u = trunc((SHAPE - 100) * (log2_q16(hours) - log2_q16(F.lit(LIFE).cast("long"))) * LN2, 100 * 65536)
+    life = (16 << 16) + LOG2_FRACTIONS[(LIFE - 65536) * 16 // 65536]
+    u, mult, annual = F.col("_u"), F.col("multiplier"), F.col("annual")
+    d = drives.withColumn("_log", log2_q16(F.col("hours"))).withColumn("_u", trunc((SHAPE - 100) * (F.col("_log") - life) * LN2, 100 * 65536))
     power = F.least(F.greatest(65536 + u + trunc(u * u, 2 * 65536) + trunc(u * u * u, 6 * 65536 * 65536), F.lit(1)), F.lit(8 << 16))
-    base = F.greatest(F.lit(1), F.least(F.lit(1_000_000), F.floor(SHAPE * YEAR * F.when(hours > 0, power).otherwise(0) / (LIFE * 65536))))
-    w = WEIGHTS
-    points = F.floor(F.greatest(F.floor(p99 * 10 / median) - 20, F.lit(0)) / 2)
-    mult = 100 + realloc * w["realloc"] + pending * w["pending"] + crc * w["crc"] + scrub * w["scrub"] + F.when(median > 0, points * w["latency"]).otherwise(0)
-    annual = F.floor(base * mult / 100)
+    base = F.greatest(F.lit(1), F.least(F.lit(1_000_000), F.floor(SHAPE * YEAR * F.when(F.col("hours") > 0, power).otherwise(0) / (LIFE * 65536))))
+    points = F.floor(F.greatest(F.floor(F.col("p99") * 10 / F.col("median")) - 20, F.lit(0)) / 2)
+    weighed = 100 + sum(F.col(c) * w for c, w in WEIGHTS.items() if c != "latency") + F.when(F.col("median") > 0, points * WEIGHTS["latency"]).otherwise(0)
+    d = d.withColumn("multiplier", weighed.cast("long")).withColumn("baseline", base.cast("long"))
+    d = d.withColumn("annual", F.floor(F.col("baseline") * mult / 100))
     rest = F.when(annual == 0, MOST).otherwise(F.least(F.floor(F.lit(LN2 * YEAR * 100) / (annual * 65536)), F.lit(MOST)))
-    return [mult.cast("long").alias("multiplier"), base.cast("long").alias("baseline"), annual.cast("long").alias("annual"), rest.cast("long").alias("remaining"), risk_band(mult).alias("band")]
+    return d.withColumn("remaining", rest.cast("long")).withColumn("band", risk_band(mult)).drop("_log", "_u")
 
 
 @query("""WITH i AS (SELECT p_partkey AS device, p_partkey * 47 + 1 AS h, p_size % 7 AS re, p_size % 3 AS pe, p_size % 5 AS crc, p_size % 2 AS sc, 500 AS med, 400 + p_partkey % 2000 AS p99 FROM part),
@@ -250,7 +255,8 @@ SELECT device, mult::BIGINT AS multiplier, base::BIGINT AS baseline, (base * mul
  CASE WHEN mult < 150 THEN 'healthy' WHEN mult < 400 THEN 'watch' WHEN mult < 1000 THEN 'degraded' ELSE 'failing' END AS band FROM b""")
 def x19_weibull_hazard(spark: SparkSession, d: str) -> DataFrame:
     p, s = F.col("p_partkey"), F.col("p_size").cast("long")
-    return t(spark, d, "part").select(p.alias("device"), *hazard(p * 47 + 1, s % 7, s % 3, s % 5, s % 2, F.lit(500).cast("long"), 400 + p % 2000))
+    drives = t(spark, d, "part").select(p.alias("device"), (p * 47 + 1).alias("hours"), (s % 7).alias("realloc"), (s % 3).alias("pending"), (s % 5).alias("crc"), (s % 2).alias("scrub"), F.lit(500).cast("long").alias("median"), (400 + p % 2000).alias("p99"))
+    return hazard(drives).select("device", "multiplier", "baseline", "annual", "remaining", "band")
 
 
 @query()

@@ -161,13 +161,14 @@ def t9_timeline(spark: SparkSession, d: str) -> DataFrame:
 def merkle_diff(a: DataFrame, b: DataFrame, root: int, depth: int) -> DataFrame:
     """Level-wise diff of two trees (parent, name, child, hash): equal hashes are pruned; added and removed subtrees are one row."""
     spark = a.sparkSession
+    a, b = a.persist(), b.persist()  # every level reads both; lost blocks are computed again
     level = spark.createDataFrame([("", root, root)], "path string, x long, y long")
     out = None
     for _ in range(depth):
         left = level.join(a.select(F.col("parent").alias("x"), "name", F.col("child").alias("x2"), F.col("hash").alias("hx")), "x").select("path", "name", "x2", "hx")
         right = level.join(b.select(F.col("parent").alias("y"), "name", F.col("child").alias("y2"), F.col("hash").alias("hy")), "y").select("path", "name", "y2", "hy")
         both = left.join(right, ["path", "name"], "full_outer").filter(~F.col("hx").eqNullSafe(F.col("hy")))
-        both = both.select(F.concat("path", F.lit("/"), "name").alias("path"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+        both = both.select(F.concat("path", F.lit("/"), "name").alias("path"), F.col("x2").alias("x"), F.col("y2").alias("y")).persist()  # the next level starts from it
         rows = both.select("path", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").otherwise("modified").alias("change"), "x")
         out = rows if out is None else out.unionByName(rows)
         level = both.filter("x is not null and y is not null")

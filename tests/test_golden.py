@@ -108,8 +108,8 @@ def test_suspicion_and_bands(spark):
 
 @pytest.mark.parametrize(("realloc", "pending", "median", "p99", "want"), [(0, 0, 500, 900, 100), (5, 0, 500, 500, 300), (0, 0, 500, 5000, 300)])
 def test_hazard_multipliers(spark, realloc, pending, median, p99, want):
-    lit = lambda x: F.lit(x).cast("long")
-    got = one(spark, F.struct(*scalars.hazard(lit(10_000), lit(realloc), lit(pending), lit(0), lit(0), lit(median), lit(p99))))
+    d = spark.createDataFrame([(10_000, realloc, pending, 0, 0, median, p99)], "hours long, realloc long, pending long, crc long, scrub long, median long, p99 long")
+    got = scalars.hazard(d).first()
     assert got.multiplier == want
     assert got.remaining <= 876_000
 
