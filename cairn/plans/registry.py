@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     from cairn.functions import chunking, erasure, scalars  # noqa: F401
-    from cairn.operators import aggregates, dedup, intervals, ordered, planning, predicates, scans, timeline  # noqa: F401  they register their queries
+    from cairn.operators import aggregates, coverage, dedup, intervals, ordered, planning, predicates, scans, timeline  # noqa: F401  they register their queries
     from cairn.sources import archives  # noqa: F401
     from cairn.streaming import stateful  # noqa: F401
 
