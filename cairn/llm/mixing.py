@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, drop_stash, maybe_broadcast, stash
+from cairn.llm.common import WORD, maybe_broadcast, stash
 
 HASH_BITS, LEVEL_BITS = 60, 12
 

@@ -10,7 +10,6 @@ residuals tells where a bin without it stands, so that full rows of incompatible
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
