@@ -9,9 +9,8 @@ from cairn.llm.common import drop_stash, stash
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """Two order-free sums that change when the edge set changes."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 24))).first())
+    """The count and two order-free hashes that change when the edge set changes; none can overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
