@@ -235,6 +235,11 @@ def e9_registered_functions_addition(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*)::BIGINT AS chunks, sum(len)::BIGINT AS bytes FROM (SELECT octet_length(encode(text)) AS len FROM documents WHERE doc_id < 40 AND text <> '' AND octet_length(encode(text)) <= 2048)")
 def e9_table_function_addition(spark: SparkSession, d: str) -> DataFrame:
     """An addition: the chunker as a table function; objects below the least chunk are one chunk each."""
+    return _table_function(t(spark, d, "documents").filter("doc_id < 40 and octet_length(text) between 1 and 2048"))
+
+
+def _table_function(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
 
     @F.udtf(returnType="pos: int, length: int")
     class CairnChunks:
@@ -242,10 +247,16 @@ def e9_table_function_addition(spark: SparkSession, d: str) -> DataFrame:
             yield from enumerate(fastcdc(bytes(data)))
 
     spark.udtf.register("cairn_chunks", CairnChunks)
-    t(spark, d, "documents").filter("doc_id < 40 and octet_length(text) between 1 and 2048").select(F.col("text").cast("binary").alias("data")).createOrReplaceTempView("cairn_small")
+    docs.select(F.col("text").cast("binary").alias("data")).createOrReplaceTempView("cairn_small")
     return spark.sql("SELECT count(*) AS chunks, sum(length) AS bytes FROM cairn_small, LATERAL cairn_chunks(data)")
 
 
+@query()
+def e9_table_function_addition_whole(spark: SparkSession, d: str) -> DataFrame:
+    """An addition: the chunker as a table function over every object that has a byte, long ones cut into chunks."""
+    return _table_function(t(spark, d, "documents").filter("octet_length(text) > 0"))
+
+
 _JOINS = {
     "inner": "JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3", "left": "LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3", "right": "RIGHT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3",
     "full": "FULL JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3", "left_semi": "SEMI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3", "left_anti": "ANTI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3",
@@ -274,11 +285,20 @@ def w22_rank_windows_addition(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, upper(event_type) AS kind, year(ts)::BIGINT AS y, list_sum([1, 2, user_id])::BIGINT AS total FROM events WHERE event_id < 500""")
 def x23_builtins_addition(spark: SparkSession, d: str) -> DataFrame:
     """An addition: JSON, string, date and array built-ins."""
-    e = t(spark, d, "events").filter("event_id < 500")
+    return _builtins(t(spark, d, "events").filter("event_id < 500"))
+
+
+def _builtins(e: DataFrame) -> DataFrame:
     total = F.aggregate(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.col("user_id")), F.lit(0).cast("long"), lambda s, x: s + x)
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.upper("event_type").alias("kind"), F.year("ts").cast("long").alias("y"), total.alias("total"))
 
 
+@query("""SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, upper(event_type) AS kind, year(ts)::BIGINT AS y, list_sum([1, 2, user_id])::BIGINT AS total FROM events""")
+def x23_builtins_addition_whole(spark: SparkSession, d: str) -> DataFrame:
+    """An addition: the same built-ins over every event."""
+    return _builtins(t(spark, d, "events"))
+
+
 @query("SELECT user_id AS ns, count(*)::BIGINT AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 12 HOUR GROUP BY 1")
 def r8_sessions_addition(spark: SparkSession, d: str) -> DataFrame:
     """An addition: session windows with a gap of twelve hours."""
