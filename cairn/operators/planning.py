@@ -170,7 +170,7 @@ def plan_bands(appends: pd.DataFrame, bands: int, capacity: int) -> pd.DataFrame
 
 
 def _appends(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").filter("l_orderkey < 3000").select((F.col("l_suppkey") % 25).alias("device"), (F.col("l_orderkey") % 7).alias("file"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("seq"), F.col("l_quantity").cast("long").alias("len"))
+    return t(spark, d, "lineitem").select((F.col("l_suppkey") % 25).alias("device"), (F.col("l_orderkey") % 7).alias("file"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("seq"), F.col("l_quantity").cast("long").alias("len"))
 
 
 def _planned(rows: DataFrame, plan: Callable[[pd.DataFrame, int, int], pd.DataFrame], n: int, capacity: int) -> DataFrame:

@@ -95,11 +95,20 @@ q AS (SELECT DISTINCT r, pid, ts FROM p), s AS (SELECT id % 32 AS r, id, "at" FR
 j AS (SELECT q.r, q.pid, q.ts, s.id, row_number() OVER (PARTITION BY q.r, q.pid, q.ts ORDER BY s."at" DESC NULLS LAST, s.id) AS n FROM q LEFT JOIN s ON q.r = s.r AND s."at" <= q.ts)
 SELECT r, pid, ts, id AS snapshot FROM j WHERE n = 1""")
 def j3_snapshot_as_of(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "lineitem").filter("l_orderkey < 200").select((F.col("l_orderkey") % 32).alias("r"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), fx.epoch_s("l_shipdate").alias("ts")).distinct()
-    s = fx.snapshots(spark, d).withColumn("r", F.col("id") % 32)
+    return _snapshot_as_of(t(spark, d, "lineitem").filter("l_orderkey < 200"), fx.snapshots(spark, d))
+
+
+def _snapshot_as_of(lines: DataFrame, snapshots: DataFrame) -> DataFrame:
+    p = lines.select((F.col("l_orderkey") % 32).alias("r"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), fx.epoch_s("l_shipdate").alias("ts")).distinct()
+    s = snapshots.withColumn("r", F.col("id") % 32)
     return as_of(p, s, on="r", left_time="ts", right_time="at", tie="id", value="id").withColumnRenamed("asof", "snapshot")
 
 
+@query()
+def j3_snapshot_as_of_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _snapshot_as_of(t(spark, d, "lineitem"), fx.snapshots(spark, d))
+
+
 @query(f"""WITH {fx.VERSIONS}, l AS (SELECT path, arg_max(content, pos) FILTER (ts <= {_CUTS[0]}) AS root, arg_min(content, pos) AS first FROM versions GROUP BY path)
 SELECT path, coalesce(root, first) AS root, CASE WHEN root IS NULL THEN 'before_first' ELSE 'found' END AS status FROM l""")
 def j4_root_as_of(spark: SparkSession, d: str) -> DataFrame:
@@ -196,16 +205,34 @@ r AS (SELECT c AS start, parent AS anc FROM p WHERE parent IS NOT NULL UNION ALL
 SELECT start, count(DISTINCT anc)::BIGINT AS ancestors, min(anc) AS oldest FROM r GROUP BY start""")
 def j14_ancestry(spark: SparkSession, d: str) -> DataFrame:
     """Reachability over parents by path doubling: known ancestors are joined with themselves until nothing is new, so the joins grow with the logarithm of the depth."""
+    return _ancestry(t(spark, d, "orders").filter("o_custkey < 40"))
+
+
+def _ancestry(orders: DataFrame) -> DataFrame:
+    """Each round is counted and written to the shared folder, so a round costs one join."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    p = t(spark, d, "orders").filter("o_custkey < 40").select(F.col("o_orderkey").alias("start"), F.lag("o_orderkey").over(w).alias("anc")).filter("anc is not null")
-    reach, n = p, -1
+    p = orders.select(F.col("o_orderkey").alias("start"), F.lag("o_orderkey").over(w).alias("anc")).filter("anc is not null")
+    reach, n = _kept(p), -1
     while (m := reach.count()) != n:
         n = m
         step = reach.select(F.col("start").alias("anc"), F.col("anc").alias("next"))
-        reach = reach.unionByName(reach.join(step, "anc").select("start", F.col("next").alias("anc"))).distinct()
+        reach = _kept(reach.unionByName(reach.join(step, "anc").select("start", F.col("next").alias("anc"))).distinct())
     return reach.groupBy("start").agg(F.count_distinct("anc").alias("ancestors"), F.min("anc").alias("oldest"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    from cairn.sources import archives
+
+    path = archives._scratch(df.sparkSession, "reach")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query()
+def j14_ancestry_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _ancestry(t(spark, d, "orders"))
+
+
 def compare_clocks(a: str, b: str) -> Column:
     """before, after, equal or concurrent; missing entries count as 0."""
     le = lambda x, y: F.forall(F.map_entries(x), lambda e: e["value"] <= F.coalesce(F.element_at(y, e["key"]), F.lit(0)))

@@ -46,3 +46,39 @@ def test_every_object_and_event(spark):
     assert {r.doc_id for r in whole(spark, "x21_aes_round_trip_whole")} == set(texts())
     events = pd.read_parquet(f"{SF}/events.parquet", columns=["event_id"])
     assert {r.event_id for r in whole(spark, "x23_builtins_addition_whole")} == set(events["event_id"])
+
+
+def test_every_line_is_placed(spark):
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_suppkey"])
+    want = Counter(lines["l_suppkey"] % 25)
+    for name in ("w20_zone_append", "w21_band_assignment"):
+        assert Counter(r.device for r in whole(spark, name)) == want
+
+
+def test_ancestors_of_every_order(spark):
+    orders = pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey", "o_custkey"])
+    want = {}
+    for _, g in orders.groupby("o_custkey"):
+        keys = sorted(map(int, g["o_orderkey"]))
+        want |= {k: (i, keys[0]) for i, k in enumerate(keys) if i}
+    assert {r.start: (r.ancestors, r.oldest) for r in whole(spark, "j14_ancestry_whole")} == want
+
+
+def test_snapshot_of_every_line(spark):
+    from bisect import bisect_right
+
+    from cairn.sources import fixtures as fx
+
+    by = {}
+    for r in fx.snapshots(spark, SF).collect():
+        by.setdefault(r.id % 32, []).append((r["at"], r.id))
+    times = {k: sorted({a for a, _ in v}) for k, v in by.items()}
+    least = {k: {a: min(i for b, i in v if b == a) for a, _ in v} for k, v in by.items()}
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_shipdate"])
+    want = set()
+    for k, n, at in zip(lines["l_orderkey"], lines["l_linenumber"], pd.to_datetime(lines["l_shipdate"]), strict=True):
+        r, ts = int(k) % 32, int(at.timestamp())
+        i = bisect_right(times.get(r, []), ts)
+        want.add((r, int(k) * 10 + int(n), ts, least[r][times[r][i - 1]] if i else None))
+    got = whole(spark, "j3_snapshot_as_of_whole")
+    assert {(r.r, r.pid, r.ts, r.snapshot) for r in got} == want and len(got) == len(want)
