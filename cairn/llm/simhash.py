@@ -19,22 +19,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches, stash
+from cairn.llm.common import maybe_broadcast, small_batches, stash
 from cairn.llm.components import connected_components
 
 BYTES, BLOCK = 8, 1 << 15
+#: Texts whose shingles are counted to order them; it bounds the sample, not the result.
+SAMPLE = 20_000
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Signed 64-bit SimHash of the whole text: XXH64 (seed 42) of word shingles, majority by bit; no word: 0."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle; fewer words than `width` are one shingle."""
     if len(words) < width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Signed 64-bit SimHash of the whole text: XXH64 (seed 42) of word shingles, majority by bit; no word: 0."""
+    h = shingle_hashes((text or "").encode().lower().split(), width)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), BLOCK):
         ones += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -51,6 +57,75 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
+def shingle_sets(docs: DataFrame, text_col: str, width: int, set_width: int) -> DataFrame:
+    """(fp, sk, h): SimHash, a key of the shingle set and the sorted hashes of the distinct shingles; rows without a word are left out."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, sk, sets = [], [], []
+            for t in b.column(0):
+                text = t.as_py()
+                h = np.unique(shingle_hashes((text or "").encode().lower().split(), set_width))
+                if len(h):
+                    fp.append(fingerprint(text, width))
+                    sk.append(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
+                    sets.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(sk, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "sk", "h"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, sk long, h array<long>")
+
+
+def set_links(docs: DataFrame, *, text_col: str, width: int, set_width: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): fingerprints of texts whose shingle sets have a Jaccard similarity of at least similarity[0] / similarity[1].
+
+    Two such sets share a shingle among the first n - ceil(s n) + 1 of each in any common order, so no pair is lost. The order
+    puts the shingles that are frequent in a bounded sample last, which keeps posting lists short. What a pair shares is at
+    most what its prefixes share and the longer of the two rests; pairs below the needed overlap go, as do those whose
+    lengths differ too much. Pairs with equal fingerprints are linked already. The others are verified on the whole sets.
+    """
+    spark, (num, den) = docs.sparkSession, similarity
+    sets = stash(shingle_sets(docs, text_col, width, set_width), "simhash-sets")
+    part = min(1.0, SAMPLE / max(1, sets.count()))
+    seen = sets.sample(part, seed=1).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    hot = sorted((r.h, r.n) for r in seen.orderBy(F.desc("n"), "h").limit(SAMPLE * 5).collect())
+    table = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)))
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count = table.value
+        for b in batches:
+            out = [[], [], [], []]
+            for fp, sk, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                h = row.values.to_numpy()
+                n = len(h)
+                rank = np.zeros(n, np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    rank = np.where(keys[at] == h, count[at], 0)
+                p = n - -(-num * n // den) + 1
+                for c, v in zip(out, (h[np.lexsort((h, rank))[:p]], np.full(p, sk), np.full(p, fp), np.full(p, n, np.int32)), strict=True):
+                    c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "sk", "fp", "n"])
+
+    # Repeated sets post once; the join needs no other exchange than that by shingle.
+    post = sets.select("fp", "sk", "h").mapInArrow(run, "h long, sk long, fp long, n int").repartition("h").dropDuplicates(["h", "sk", "fp"])
+    x = post.select("h", *[F.col(c).alias(f"{c}1") for c in ("sk", "fp", "n")])
+    y = post.select("h", *[F.col(c).alias(f"{c}2") for c in ("sk", "fp", "n")])
+    lengths = F.least("n1", "n2").cast("long") * den >= F.greatest("n1", "n2").cast("long") * num
+    met = x.join(y, "h").filter((F.col("fp1") < F.col("fp2")) & lengths).groupBy("sk1", "fp1", "n1", "sk2", "fp2", "n2").agg(F.count("*").alias("c"))
+    rest = F.expr(f"(greatest(n1, n2) * {num}L + {den - 1}) div {den} - 1")
+    able = (F.col("c") + rest) * (num + den) >= (F.col("n1") + F.col("n2")).cast("long") * num
+    pairs = stash(met.filter(able).select("sk1", "fp1", "sk2", "fp2"), "simhash-pairs")
+    asked = pairs.select(F.col("sk1").alias("sk")).unionByName(pairs.select(F.col("sk2").alias("sk"))).distinct()
+    asked = stash(asked, "simhash-asked-keys")
+    few = stash(sets.select("sk", "h").join(maybe_broadcast(asked, asked.count()), "sk", "left_semi").dropDuplicates(["sk"]), "simhash-asked")
+    both = pairs.join(few.select(F.col("sk").alias("sk1"), F.col("h").alias("h1")), "sk1").join(few.select(F.col("sk").alias("sk2"), F.col("h").alias("h2")), "sk2")
+    shared = F.size(F.array_intersect("h1", "h2")).cast("long")
+    return both.filter(shared * (num + den) >= (F.size("h1") + F.size("h2")).cast("long") * num).select(F.col("fp1").alias("a"), F.col("fp2").alias("b"))
+
+
 def postings(classes: DataFrame, distance: int) -> DataFrame:
     """(choice, key, fp): each distinct fingerprint under every choice of shared byte positions."""
     used = BYTES - 1 if distance < BYTES - 1 else BYTES
@@ -124,16 +199,21 @@ def links(post: DataFrame, distance: int) -> DataFrame:
     return post.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInPandas(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, set_width: int = 5, similarity: tuple[int, int] | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
+    With `similarity` (a fraction), texts whose sets of `set_width`-word shingles are that similar are linked as well.
+
     Null, empty and blank texts have fingerprint zero and link like any other. Equal fingerprints are one node, so
     repeated rows and groups of copies cost nothing beyond their count. Rows without an id get the smallest id of
     their component, null if it has none. An empty table gives an empty result; other columns are not read.
     """
     fps = stash(fingerprints(docs, id_col, text_col, width), "simhash")
     classes = stash(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    roots = connected_components(links(postings(classes, distance), distance))
+    edges = links(postings(classes, distance), distance)
+    if similarity:
+        edges = stash(edges, "simhash-links").unionByName(set_links(docs, text_col=text_col, width=width, set_width=set_width, similarity=similarity))
+    roots = connected_components(edges)
     nodes = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = stash(nodes.join(least, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-components")

@@ -23,8 +23,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs, width=3, distance=3).select(docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id.
+
+    Near are fingerprints within three bits, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    return simhash.drop_near_duplicates(docs, width=3, distance=3, set_width=5, similarity=(4, 5)).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
