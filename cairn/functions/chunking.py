@@ -82,38 +82,39 @@ def rabin(data: bytes, low: int = 2048, avg: int = 8192, high: int = 32768) -> l
     return out
 
 
-def chunks(objects: DataFrame, id_col: str, data: Column, cut: Callable[[bytes], list[int]]) -> DataFrame:
-    """(id, pos, start, length, hash) of every chunk of every object; Arrow batches in, rows out, no shuffle."""
+def chunks(objects: DataFrame, id_col: str, data: Column, cut: Callable[[bytes], list[int]], label: Column | None = None) -> DataFrame:
+    """(id, pos, start, length, hash, label) of every chunk of every object; Arrow batches in, rows out, no shuffle. label: a string that goes with the object."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, raw, of in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw, at = raw.as_py() or b"", 0
                 for k, n in enumerate(cut(raw)):
-                    rows.append((i, k, at, n, hashlib.sha256(raw[at : at + n]).hexdigest()))
+                    rows.append((i, k, at, n, hashlib.sha256(raw[at : at + n]).hexdigest(), of))
                     at += n
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["id", "pos", "start", "length", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "pos", "start", "length", "hash", "label"])
 
-    return objects.select(F.col(id_col).cast("long").alias("id"), data.cast("binary").alias("data")).mapInArrow(run, "id long, pos long, start long, length long, hash string")
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2
+    rows = objects.select(F.col(id_col).cast("long").alias("id"), data.cast("binary").alias("data"), (F.lit(None) if label is None else label).cast("string").alias("label"))
+    return rows.mapInArrow(run, "id long, pos long, start long, length long, hash string, label string")
 
 
 @query()
 def x8_rabin_cdc(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(t(spark, d, "documents"), "doc_id", F.col("text"), rabin)
+    return chunks(t(spark, d, "documents"), "doc_id", F.col("text"), rabin).drop("label")
 
 
 @query()
 def x9_fastcdc(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(t(spark, d, "documents"), "doc_id", F.col("text"), fastcdc)
+    return chunks(t(spark, d, "documents"), "doc_id", F.col("text"), fastcdc).drop("label")
 
 
 @query()
 def a1_cdc_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Per domain (language): chunks, logical, unique, stored, eliminated, least and greatest length, ratio. Hashes are combined before the shuffle."""
-    docs = t(spark, d, "documents")
-    c = chunks(docs, "doc_id", F.col("text"), lambda b: fastcdc(b, 256, 1024, 4096)).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
-    h = c.groupBy(F.col("lang").alias("domain"), "hash").agg(F.count("*").alias("n"), F.max("length").alias("len"))
+    c = chunks(t(spark, d, "documents"), "doc_id", F.col("text"), lambda b: fastcdc(b, 256, 1024, 4096), F.col("lang"))
+    h = c.groupBy(F.col("label").alias("domain"), "hash").agg(F.count("*").alias("n"), F.max("length").alias("len"))
     s = h.groupBy("domain").agg(F.sum("n").alias("chunks"), F.sum(F.col("n") * F.col("len")).alias("logical"), F.count("*").alias("unique"), F.sum("len").alias("stored"), F.min("len").alias("least"), F.max("len").alias("greatest"))
     return s.withColumn("eliminated", F.col("logical") - F.col("stored")).withColumn("ratio", F.when(F.col("stored") > 0, F.round(F.col("logical") / F.col("stored"), 9)).otherwise(1.0))

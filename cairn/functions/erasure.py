@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.plans.registry import query
 from cairn.sources.fixtures import t
@@ -96,6 +99,51 @@ def padded(pieces: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p.ljust(n, b"\0"), np.uint8) for p in pieces])
 
 
+def matrix_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values as rows of one array, filled up with zeros, and their lengths."""
+    lens = np.array([len(x) for x in raw], np.int64)
+    out = np.zeros((len(raw), int(lens.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1]) < lens[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+    return out, lens
+
+
+def by_stripe(rows: DataFrame, order: str, data: str, code: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Stripes are the rows of one `g`, in order. `code(g, shards, lens)` gets all stripes of a batch that have k shards: shards is k x stripes x bytes, zeros after lens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t_ = pa.Table.from_batches([b])
+            t_ = pa.concat_tables([held, t_]) if held else t_
+            g = t_["g"].to_numpy()
+            last = len(g) - int(np.argmax(np.concatenate((g[::-1] != g[-1], [True])))) if len(g) else 0
+            held = t_.slice(last)
+            if last:
+                yield of(t_.slice(0, last))
+        if held and len(held):
+            yield of(held)
+
+    def of(t_: pa.Table) -> pa.RecordBatch:
+        g, (shards, lens) = t_["g"].to_numpy(), matrix_of(t_["data"].to_pylist())
+        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        size = np.diff(np.append(at, len(g)))
+        out = []
+        for k in np.unique(size):
+            rows_ = at[size == k][None, :] + np.arange(k)[:, None]
+            out += code(g[rows_[0]], shards[rows_], lens[rows_].max(axis=0))
+        return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=kinds)
+
+    kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    names = kinds.names
+    dealt = rows.select("g", order, F.col(data).cast("binary").alias("data")).repartition("g").sortWithinPartitions("g", order)
+    return dealt.select("g", "data").mapInArrow(run, schema)
+
+
+def coded(matrix: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """`combine` over shards x stripes x bytes."""
+    return combine(matrix, shards.reshape(len(shards), -1)).reshape(len(matrix), *shards.shape[1:])
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     """Names of parts in groups of four."""
     return t(spark, d, "part").select(F.expr("p_partkey div 4").alias("g"), "p_partkey", "p_name")
@@ -103,27 +151,39 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def a20_parity_encode(spark: SparkSession, d: str) -> DataFrame:
-    """P, Q and two coded shards of each group of four; a group is four rows."""
+    """P, Q and two coded shards of each group of four."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = padded([x.encode() for x in pdf.sort_values("p_partkey")["p_name"]])
+    def code(g: np.ndarray, s: np.ndarray, lens: np.ndarray) -> list[tuple]:
         p, q = pq_parity(dict(enumerate(s)))
-        rs = encode(s, 2)[len(s) :]
-        return pd.DataFrame([(pdf["g"].iloc[0], p.tobytes().hex(), q.tobytes().hex(), rs[0].tobytes().hex(), rs[1].tobytes().hex())], columns=["g", "p", "q", "c0", "c1"])
+        c = coded(generator(len(s), 2)[len(s) :], s)
+        return [(i, *(x[j, :n].tobytes().hex() for x in (p, q, *c))) for j, (i, n) in enumerate(zip(g.tolist(), lens.tolist(), strict=True))]
+
+    return by_stripe(_groups(spark, d), "p_partkey", "p_name", code, "g long, p string, q string, c0 string, c1 string")
+
+
+def restored(full: np.ndarray, k: int, m: int, lost: list[set[int]]) -> np.ndarray:
+    """shards x stripes x bytes, of which each stripe lost its own: all of them from k survivors, a solve for each set of losses."""
+    back = np.empty_like(full)
+    for kind in set(map(frozenset, lost)):
+        at = np.array([i for i, x in enumerate(lost) if x == kind])
+        back[:, at] = coded_survivors({i: full[i][at] for i in range(k + m) if i not in kind}, k, m)
+    return back
+
 
-    return _groups(spark, d).groupBy("g").applyInPandas(run, "g long, p string, q string, c0 string, c1 string")
+def coded_survivors(survivors: dict[int, np.ndarray], k: int, m: int) -> np.ndarray:
+    shape = next(iter(survivors.values())).shape
+    return reconstruct({i: x.reshape(-1) for i, x in survivors.items()}, k, m).reshape(k + m, *shape)
 
 
 @query()
 def a21_rs_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     """Two shards of each group are lost and rebuilt: whether all come back as they were."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = padded([x.encode() for x in pdf.sort_values("p_partkey")["p_name"]])
-        full = encode(s, 2)
-        g = int(pdf["g"].iloc[0])
-        lost = {g % len(full), (g // 7) % len(full)}
-        back = reconstruct({i: x for i, x in enumerate(full) if i not in lost}, len(s), 2)
-        return pd.DataFrame([(g, len(lost), bool((back == full).all()))], columns=["g", "lost", "restored"])
+    def code(g: np.ndarray, s: np.ndarray, lens: np.ndarray) -> list[tuple]:
+        n = len(s) + 2
+        full = coded(generator(len(s), 2), s)
+        lost = [{int(i) % n, int(i) // 7 % n} for i in g]
+        same = (restored(full, len(s), 2, lost) == full).all(axis=(0, 2))
+        return [(int(i), len(x), bool(ok)) for i, x, ok in zip(g, lost, same, strict=True)]
 
-    return _groups(spark, d).groupBy("g").applyInPandas(run, "g long, lost long, restored boolean")
+    return by_stripe(_groups(spark, d), "p_partkey", "p_name", code, "g long, lost long, restored boolean")

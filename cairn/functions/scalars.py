@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.aggregates import LOG2_FRACTIONS, log2_q16
@@ -82,13 +84,32 @@ def x5_fletcher32(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", _bytes_udf(fletcher32, "long")(F.col("text").cast("binary")).alias("fletcher"))
 
 
+def fnv1a64_all(data: pd.Series) -> np.ndarray:
+    """FNV-1a of all values, one step for each byte place over those that are long enough."""
+    raw = [bytes(b) for b in data]
+    lens = np.array([len(b) for b in raw], np.int64)
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    starts = np.cumsum(lens) - lens
+    order = np.argsort(-lens, kind="stable")
+    more = -lens[order]
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(int(lens.max(initial=0))):
+            on = order[: np.searchsorted(more, -i, "left")]
+            h[on] = (h[on] ^ flat[starts[on] + i]) * np.uint64(0x100000001B3)
+    return h
+
+
 @query()
 def x6_fnv1a(spark: SparkSession, d: str) -> DataFrame:
     """Name hash and its bucket of 64."""
-    h = _bytes_udf(lambda b: f"{fnv1a64(b):016x}", "string")
-    bucket = _bytes_udf(lambda b: fnv1a64(b) % 64, "long")
-    name = F.col("p_name").cast("binary")
-    return t(spark, d, "part").select("p_partkey", h(name).alias("hash"), bucket(name).alias("bucket"))
+
+    @F.pandas_udf("hash string, bucket long")
+    def hashed(names: pd.Series) -> pd.DataFrame:
+        h = fnv1a64_all(names)
+        return pd.DataFrame({"hash": [f"{x:016x}" for x in h.tolist()], "bucket": (h % np.uint64(64)).astype(np.int64)})
+
+    return t(spark, d, "part").select("p_partkey", hashed(F.col("p_name").cast("binary")).alias("h")).select("p_partkey", "h.hash", "h.bucket")
 
 
 @query()
@@ -155,15 +176,16 @@ def unpack_extent(raw: bytes) -> tuple[int, int, int, int] | None:
     return int.from_bytes(raw[:6], "little"), int.from_bytes(raw[6:12], "little"), int.from_bytes(raw[12:15], "little"), raw[15]
 
 
+def packed_extent(logical: Column, physical: Column, length: Column, flags: Column) -> Column:
+    """The 16 bytes of `pack_extent` in hex, in little-endian order: 6, 6, 3 and 1."""
+    byte = lambda x, i: F.lpad(F.lower(F.hex(F.shiftright(x, 8 * i).bitwiseAND(255))), 2, "0")
+    return F.concat(*[byte(x, i) for x, n in ((logical, 6), (physical, 6), (length, 3), (flags, 1)) for i in range(n)])
+
+
 @query()
 def x13_extent_codec(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def coded(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        packed = [pack_extent(x, y, z, 1) for x, y, z in zip(a, b, n, strict=True)]
-        assert all(unpack_extent(p)[:3] == (x, y, z) for p, x, y, z in zip(packed, a, b, n, strict=True))
-        return pd.Series([p.hex() for p in packed])
-
-    return fx.extents(spark, d).select("file", "logical", "physical", coded("logical", "physical", "length").alias("packed"))
+    c = F.col
+    return fx.extents(spark, d).select("file", "logical", "physical", packed_extent(c("logical"), c("physical"), c("length"), F.lit(1).cast("long")).alias("packed"))
 
 
 @query("SELECT p_partkey, ((p_partkey + 63) // 64) * 64 AS up, (p_partkey + 4095) // 4096 AS blocks, p_partkey > 0 AND (p_partkey & (p_partkey - 1)) = 0 AS power, bit_count(p_partkey)::BIGINT AS bits FROM part")
@@ -280,21 +302,66 @@ def x20_compression(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("raw"), best(F.col("text").cast("binary")).alias("b")).select("doc_id", "raw", "b.codec", "b.size")
 
 
-@query("SELECT doc_id, text AS back FROM documents WHERE doc_id < 50")
+@query("SELECT doc_id, text AS back FROM documents")
 def x21_aes_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """AES-GCM as far as Spark has it: encrypt and decrypt small objects."""
-    return _aes_round_trip(t(spark, d, "documents").filter("doc_id < 50"))
+    """AES-GCM as far as Spark has it: encrypt and decrypt every object."""
+    key = F.lit("0123456789abcdef").cast("binary")
+    return t(spark, d, "documents").select("doc_id", F.aes_decrypt(F.aes_encrypt(F.col("text").cast("binary"), key), key).cast("string").alias("back"))
 
 
-def _aes_round_trip(x: DataFrame) -> DataFrame:
-    key = F.lit("0123456789abcdef").cast("binary")
-    return x.select("doc_id", F.aes_decrypt(F.aes_encrypt(F.col("text").cast("binary"), key), key).cast("string").alias("back"))
+def hkdf_sha256(master: bytes, info: bytes, size: int = 32, salt: bytes = b"") -> bytes:
+    """Extract and expand (RFC 5869)."""
+    key, out, block = hmac.digest(salt or bytes(32), master, "sha256"), b"", b""
+    for i in range(-(-size // 32)):
+        block = hmac.digest(key, block + info + bytes([i + 1]), "sha256")
+        out += block
+    return out[:size]
 
 
-@query("SELECT doc_id, text AS back FROM documents")
-def x21_aes_round_trip_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The round trip of every object."""
-    return _aes_round_trip(t(spark, d, "documents"))
+def pbkdf2_sha256(password: bytes, salt: bytes, iterations: int, size: int) -> bytes | None:
+    """A key from a passphrase (RFC 8018); None for no iterations or sizes that are refused."""
+    if not 0 < size <= 32 * 255 or iterations < 1:
+        return None
+    return hashlib.pbkdf2_hmac("sha256", password, salt, iterations, size)
+
+
+#: What goes before a domain's and an extent's name in the derivation.
+DOMAIN_INFO, EXTENT_INFO = b"cairn-domain:", b"cairn-extent:"
+
+
+@query()
+def x21_key_derivation(spark: SparkSession, d: str) -> DataFrame:
+    """For every supplier the key of its passphrase, and the key of its domain below one master key."""
+    master = bytes(range(32))
+
+    @F.pandas_udf("wrapped string, domain string")
+    def derived(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(pbkdf2_sha256(n.encode(), b"salt" + n.encode(), 50, 32).hex(), hkdf_sha256(master, DOMAIN_INFO + n.encode()).hex()) for n in names], columns=["wrapped", "domain"])
+
+    return t(spark, d, "supplier").select("s_suppkey", derived("s_name").alias("k")).select("s_suppkey", "k.wrapped", "k.domain")
+
+
+def convergent(text: Column, domain_key: Column, extent_key: Column) -> tuple[Column, Column]:
+    """(sealed, opened): AES-GCM whose nonce follows from domain and content, so that equal contents of a domain seal equally; the content hash is authenticated."""
+    content = F.unhex(F.sha2(text, 256))
+    nonce = F.substring(F.unhex(F.sha2(F.concat(domain_key, content), 256)), 1, 12)
+    sealed = F.aes_encrypt(text.cast("binary"), extent_key, F.lit("GCM"), F.lit("DEFAULT"), nonce, content)
+    return sealed, F.aes_decrypt(sealed, extent_key, F.lit("GCM"), F.lit("DEFAULT"), content).cast("string")
+
+
+@query("SELECT doc_id, true AS whole, count(*) OVER (PARTITION BY lang, text)::BIGINT AS alike FROM documents")
+def x21_convergent_encryption(spark: SparkSession, d: str) -> DataFrame:
+    """Every object sealed under its language's domain: whether it opens to what it was, and how many seal to the same bytes."""
+
+    @F.pandas_udf("domain binary, extent binary")
+    def keys(lang: pd.Series, digest: pd.Series) -> pd.DataFrame:
+        domains = {x: hkdf_sha256(bytes(range(32)), DOMAIN_INFO + (x or "").encode()) for x in set(lang)}
+        return pd.DataFrame([(domains[x], hkdf_sha256(domains[x], EXTENT_INFO + bytes.fromhex(h))) for x, h in zip(lang, digest, strict=True)], columns=["domain", "extent"])
+
+    x = t(spark, d, "documents").withColumn("k", keys(F.coalesce("lang", F.lit("")), F.sha2("text", 256)))
+    sealed, opened = convergent(F.col("text"), F.col("k.domain"), F.col("k.extent"))
+    x = x.select("doc_id", (opened == F.col("text")).alias("whole"), F.sha2(sealed, 256).alias("sealed"))
+    return x.select("doc_id", "whole", F.count(F.lit(1)).over(Window.partitionBy("sealed")).alias("alike"))
 
 
 @query("SELECT p_partkey, lower(hex(p_name)) AS hex, substr(lower(hex(p_name)), 1, 12) AS short FROM part")

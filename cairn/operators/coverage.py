@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.chunking import fastcdc
 from cairn.operators import timeline
+from cairn.operators.predicates import check_mode
 from cairn.plans.registry import query
+from cairn.shared import scratch
 from cairn.sources import archives
 from cairn.sources import fixtures as fx
 from cairn.sources.fixtures import t
@@ -21,10 +24,10 @@ from cairn.streaming import stateful
 @query("SELECT count(*) FILTER (doc_id % 10 <> 0)::BIGINT AS ok, count(*) FILTER (doc_id % 10 = 0)::BIGINT AS failed, false AS accepted FROM documents")
 def s16_snapshot_receive(spark: SparkSession, d: str) -> DataFrame:
     """A received snapshot is refused as a whole if any path differs from its manifest (every tenth size is wrong here)."""
-    path = archives._scratch(spark, "receive")
+    path = scratch(spark, "receive")
     f = fx.files(spark, d)
     f.select("path", "text").write.parquet(f"{path}/data")
-    f.select("path", F.when(F.col("doc_id") % 10 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "digest").write.parquet(f"{path}/manifest")
+    archives.write_manifest(f.select("path", F.when(F.col("doc_id") % 10 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "digest"), path)
     bad = F.col("status") != "ok"
     return archives.receive_snapshot(spark, path).agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), (F.count_if(bad) == 0).alias("accepted"))
 
@@ -37,7 +40,7 @@ def s22_file_write(spark: SparkSession, d: str) -> DataFrame:
     n = F.ceil(F.octet_length("b") / 4096).cast("int")
     blocks = f.filter("octet_length(b) > 0").select("doc_id", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
     data = F.substr("b", F.col("block") * 4096 + 1, F.lit(4096))
-    path = archives._scratch(spark, "blocks")
+    path = scratch(spark, "blocks")
     blocks.select("doc_id", F.col("block").cast("long").alias("block"), F.crc32(data).alias("crc"), data.alias("data")).write.mode("append").parquet(path)
     return spark.read.parquet(path).select("doc_id", "block")
 
@@ -54,8 +57,8 @@ def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 @query(f"WITH {fx.IO_OPS} SELECT ns, block, arg_max(bytes, (t, seq)) AS bytes FROM io_ops WHERE op = 'write' GROUP BY 1, 2")
 def s23_stream_write(spark: SparkSession, d: str) -> DataFrame:
-    path = archives._scratch(spark, "pages")
-    q = stateful._log(spark, d).filter("op = 'write'").writeStream.foreachBatch(upsert_sink(path)).option("checkpointLocation", archives._scratch(spark, "offsets")).trigger(availableNow=True).start()
+    path = scratch(spark, "pages")
+    q = stateful._log(spark, d).filter("op = 'write'").writeStream.foreachBatch(upsert_sink(path)).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path).groupBy("ns", "block").agg(F.max_by("bytes", "batch").alias("bytes"))
 
@@ -63,16 +66,16 @@ def s23_stream_write(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 3::BIGINT AS batches, (SELECT count(*) FROM events)::BIGINT AS records")
 def r6_backpressure(spark: SparkSession, d: str) -> DataFrame:
     """At most one file a micro-batch: three files make three batches, and nothing is lost."""
-    path = archives._scratch(spark, "batches")
+    path = scratch(spark, "batches")
     write = lambda df, i: df.select("seq").withColumn("batch", F.lit(i)).write.mode("append").parquet(path)
-    stateful._log(spark, d).writeStream.foreachBatch(write).option("checkpointLocation", archives._scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    stateful._log(spark, d).writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("records"))
 
 
 @query("SELECT (SELECT count(*) FROM events)::BIGINT AS records, (SELECT count(*) FROM events)::BIGINT AS distinct_records")
 def r4_checkpoint_restart(spark: SparkSession, d: str) -> DataFrame:
     """The offset log is the drained-through marker: a second run from the same checkpoint reads nothing again."""
-    sink, marks = archives._scratch(spark, "sink"), archives._scratch(spark, "offsets")
+    sink, marks = scratch(spark, "sink"), scratch(spark, "offsets")
     stream = stateful._log(spark, d)
     for _ in range(2):
         out = stateful.drain(stream, spark, marks, sink)
@@ -196,10 +199,14 @@ def e5_relocation_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 class FileSystem:
-    """The read side of the file interface over versioned paths: lookup, list, stat and read, at any time."""
+    """The read side of the file interface over versioned paths and node attributes: lookup, list, read at any time,
+    getattr, statfs, access, readlink and extended attributes. Requests are tables, so a call answers many at once.
 
-    def __init__(self, edges: DataFrame, versions: DataFrame):
-        self.edges, self.versions = edges, versions
+    edges (parent, name, child); versions (path, pos, ts, content); attrs (node, mode, uid, gid, size, target, xattrs).
+    """
+
+    def __init__(self, edges: DataFrame, versions: DataFrame, attrs: DataFrame):
+        self.edges, self.versions, self.attrs = edges, versions, attrs
 
     def lookup(self, paths: DataFrame) -> DataFrame:
         return timeline.resolve(self.edges, paths, 0, 4)
@@ -210,15 +217,183 @@ class FileSystem:
     def read_at(self, ts: int) -> DataFrame:
         return timeline._at(self.versions, ts)
 
+    def getattr(self, nodes: DataFrame) -> DataFrame:
+        """Attributes of the nodes asked for; error ENOENT where there is no such node."""
+        a = self.attrs.select("node", "mode", "uid", "gid", "size", F.lit(True).alias("_there"))
+        return nodes.join(a, "node", "left").withColumn("error", F.when(F.col("_there").isNull(), "ENOENT")).drop("_there")
+
+    def statfs(self, block: int, blocks: int) -> DataFrame:
+        """One row: blocks, free blocks, files, and the longest name."""
+        used = self.attrs.agg(F.coalesce(F.sum(F.ceil(F.col("size") / block)), F.lit(0)).alias("used"), F.count(F.lit(1)).alias("files"))
+        return used.select(F.lit(blocks).cast("long").alias("blocks"), F.greatest(F.lit(blocks) - F.col("used"), F.lit(0)).cast("long").alias("free"), "files", F.lit(255).cast("long").alias("namelen"))
+
+    def access(self, requests: DataFrame) -> DataFrame:
+        """requests (node, caller_uid, caller_gid, want): ok, or the error (EACCES, ENOENT)."""
+        a = self.attrs.select("node", "mode", "uid", "gid", F.lit(True).alias("_there"))
+        c = F.col
+        ok = check_mode(c("mode"), c("caller_uid"), c("caller_gid"), c("uid"), c("gid"), c("want"))
+        verdict = F.when(c("_there").isNull(), "ENOENT").when(ok, "ok").otherwise("EACCES")
+        return requests.join(a, "node", "left").select(*requests.columns, verdict.alias("verdict"))
+
+    def readlink(self, nodes: DataFrame) -> DataFrame:
+        """The target of symbolic links; error EINVAL for what is none."""
+        a = self.attrs.select("node", "target", F.lit(True).alias("_there"))
+        error = F.when(F.col("_there").isNull(), "ENOENT").when(F.col("target").isNull(), "EINVAL")
+        return nodes.join(a, "node", "left").select("node", "target", error.alias("error"))
+
+    def getxattr(self, nodes: DataFrame, name: str) -> DataFrame:
+        """One extended attribute, null if the node lacks it."""
+        return nodes.join(self.attrs.select("node", "xattrs"), "node").select("node", F.try_element_at("xattrs", F.lit(name)).alias("value"))
+
+    def listxattr(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.attrs.select("node", "xattrs"), "node").select("node", F.explode(F.array_sort(F.map_keys("xattrs"))).alias("name"))
+
+
+def _file_system(spark: SparkSession, d: str) -> FileSystem:
+    k = F.col("c_custkey")
+    size = fx.versions(spark, d).groupBy("path").agg(F.max_by("content", "pos").alias("size"))
+    tags = F.when(k % 3 == 0, F.create_map(F.lit("user.segment"), "c_mktsegment", F.lit("user.nation"), F.col("c_nationkey").cast("string"))).otherwise(F.create_map(F.lit("user.segment"), "c_mktsegment"))
+    c = t(spark, d, "customer").join(size, k == F.col("path"), "left")
+    attrs = c.select((k + 1000).alias("node"), (k % 512).alias("mode"), (k % 4).alias("uid"), (F.col("c_nationkey") % 3).cast("long").alias("gid"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.when(k % 10 == 0, F.concat(F.lit("/to/"), "c_name")).alias("target"), tags.alias("xattrs"))
+    return FileSystem(timeline.namespace(spark, d), fx.versions(spark, d), attrs)
+
+
+_ATTRS = f"""{fx.VERSIONS}, z AS (SELECT path, arg_max(content, pos) AS size FROM versions GROUP BY path),
+attrs AS (SELECT c_custkey + 1000 AS node, c_custkey % 512 AS mode, c_custkey % 4 AS uid, (c_nationkey % 3)::BIGINT AS gid, coalesce(size, 0)::BIGINT AS size, CASE WHEN c_custkey % 10 = 0 THEN '/to/' || c_name END AS target, c_custkey, c_mktsegment, c_nationkey FROM customer LEFT JOIN z ON path = c_custkey),
+asked AS (SELECT o_custkey + 1000 AS node FROM orders UNION SELECT o_custkey + 900000000 FROM orders WHERE o_orderstatus = 'P')"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of all customers with orders, and others that do not exist."""
+    o = t(spark, d, "orders")
+    return o.select((F.col("o_custkey") + 1000).alias("node")).union(o.filter("o_orderstatus = 'P'").select(F.col("o_custkey") + 900000000)).distinct()
+
 
 @query(f"""WITH {fx.VERSIONS}, l AS (SELECT path, arg_max(content, pos) AS size FROM versions WHERE ts <= 852076800 GROUP BY path)
 SELECT c_name AS name, c_custkey + 1000 AS child, size FROM customer LEFT JOIN l ON path = c_custkey WHERE c_nationkey = 3""")
 def e7_file_interface(spark: SparkSession, d: str) -> DataFrame:
-    fs = FileSystem(timeline.namespace(spark, d), fx.versions(spark, d))
+    fs = _file_system(spark, d)
     now = fs.read_at(852076800).select((F.col("path") + 1000).alias("child"), "size")
     return fs.list(103).join(now, "child", "left").select("name", "child", "size")
 
 
+@query(f"WITH {_ATTRS} SELECT node, mode, uid, gid, size, CASE WHEN mode IS NULL THEN 'ENOENT' END AS error FROM asked LEFT JOIN attrs USING (node)")
+def e7_getattr(spark: SparkSession, d: str) -> DataFrame:
+    return _file_system(spark, d).getattr(_asked(spark, d))
+
+
+@query(f"WITH {_ATTRS} SELECT 1000000000::BIGINT AS blocks, (1000000000 - sum((size + 4095) // 4096))::BIGINT AS free, count(*)::BIGINT AS files, 255::BIGINT AS namelen FROM attrs")
+def e7_statfs(spark: SparkSession, d: str) -> DataFrame:
+    return _file_system(spark, d).statfs(4096, 1_000_000_000)
+
+
+@query(f"""WITH {_ATTRS}, r AS (SELECT node, node % 4 AS cu, node % 3 AS cg, node % 8 AS want FROM asked)
+SELECT r.node, CASE WHEN mode IS NULL THEN 'ENOENT' WHEN cu = 0 OR want = 0 OR ((CASE WHEN cu = uid THEN mode >> 6 WHEN cg = gid THEN mode >> 3 ELSE mode END) & 7 & want) = want THEN 'ok' ELSE 'EACCES' END AS verdict FROM r LEFT JOIN attrs USING (node)""")
+def e7_access(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("node")
+    return _file_system(spark, d).access(_asked(spark, d).select(n, (n % 4).alias("caller_uid"), (n % 3).alias("caller_gid"), (n % 8).alias("want"))).select("node", "verdict")
+
+
+@query(f"WITH {_ATTRS} SELECT node, target, CASE WHEN mode IS NULL THEN 'ENOENT' WHEN target IS NULL THEN 'EINVAL' END AS error FROM asked LEFT JOIN attrs USING (node)")
+def e7_readlink(spark: SparkSession, d: str) -> DataFrame:
+    return _file_system(spark, d).readlink(_asked(spark, d))
+
+
+@query(f"""WITH {_ATTRS}, x AS (SELECT node, 'user.segment' AS name, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::VARCHAR END AS nation FROM attrs JOIN asked USING (node)
+UNION ALL SELECT node, 'user.nation', c_nationkey::VARCHAR FROM attrs JOIN asked USING (node) WHERE c_custkey % 3 = 0) SELECT node, name, nation FROM x""")
+def e7_extended_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """The names of every node's attributes, and the value of one of them."""
+    fs, asked = _file_system(spark, d), _asked(spark, d)
+    return fs.listxattr(asked).join(fs.getxattr(asked, "user.nation").withColumnRenamed("value", "nation"), "node")
+
+
+def commit_groups(writes: DataFrame, handler: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Group commit: writes (ns, window, seq, bytes) are committed window by window; every member gets its window's outcome.
+
+    The handler gets the windows (ns, window, members, bytes) and returns those that it rolled back with the phase that
+    failed (ns, window, phase); the others are committed.
+    """
+    windows = writes.groupBy("ns", "window").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
+    failed = handler(windows).select("ns", "window", "phase")
+    outcome = F.when(F.col("phase").isNull(), "committed").otherwise(F.concat(F.lit("rolled back: "), "phase"))
+    return writes.join(failed, ["ns", "window"], "left").select("ns", "seq", "window", outcome.alias("outcome"))
+
+
+@query(f"""WITH {fx.IO_OPS}, w AS (SELECT ns, seq, bytes, (row_number() OVER (PARTITION BY ns ORDER BY seq) - 1) // 8 AS "window" FROM io_ops WHERE op = 'write'),
+g AS (SELECT ns, "window", count(*) AS members, sum(bytes)::BIGINT AS bytes FROM w GROUP BY 1, 2)
+SELECT w.ns, seq, w."window", CASE WHEN g.bytes % 7 = 0 THEN 'rolled back: data' WHEN members < 3 THEN 'rolled back: commit' ELSE 'committed' END AS outcome FROM w JOIN g ON w.ns = g.ns AND w."window" = g."window" """)
+def e6_batch_handler(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of eight writes; a handler that fails some in the data phase and lone ones at the commit record."""
+    o = fx.io_ops(spark, d).filter("op = 'write'")
+    number = F.row_number().over(Window.partitionBy("ns").orderBy("seq")) - 1
+    writes = o.select("ns", F.floor(number / 8).alias("window"), "seq", "bytes")
+    phase = F.when(F.col("bytes") % 7 == 0, "data").when(F.col("members") < 3, "commit")
+    return commit_groups(writes, lambda w: w.withColumn("phase", phase).filter("phase is not null"))
+
+
+class RecoveryBackend(Protocol):
+    """What a mount drives, in this order. Every step but the checkpoint can be repeated."""
+
+    def probe(self) -> DataFrame: ...  # (copy, generation, valid)
+    def replay(self, generation: int) -> tuple[int, int]: ...  # rolled forward, open ones discarded
+    def checkpoint(self, generation: int) -> None: ...
+    def reconcile(self) -> tuple[int, int]: ...  # bad blocks merged, zones updated
+    def go_writable(self) -> None: ...
+
+
+def recover(backend: RecoveryBackend) -> list[tuple[str, int, int]]:
+    """Probe, replay, checkpoint, reconcile, writable: the audit of each step with its two figures. Stops where no copy is valid."""
+    best = backend.probe().filter("valid").orderBy(F.desc("generation"), "copy").limit(1).collect()
+    if not best:
+        raise ValueError("no superblock copy is valid")
+    generation = best[0]["generation"]
+    audit = [("probe", best[0]["copy"], generation), ("replay", *backend.replay(generation))]
+    backend.checkpoint(generation + 1)
+    audit += [("checkpoint", generation + 1, 0), ("reconcile", *backend.reconcile())]
+    backend.go_writable()
+    return [*audit, ("writable", 0, 0)]
+
+
+class LogBackend:
+    """Recovery over a log (seq, kind, ns): copies are marks of every hundredth entry; what follows the chosen one is replayed up to the last commit."""
+
+    def __init__(self, log: DataFrame):
+        self.log, self.generation, self.writable = log, -1, False
+
+    def probe(self) -> DataFrame:
+        at = F.floor(F.col("seq") / 100)
+        return self.log.groupBy((at % 2).alias("copy")).agg(F.max(F.when(at % 7 != 3, at)).alias("generation")).select("copy", F.coalesce("generation", F.lit(-1)).alias("generation"), F.col("generation").isNotNull().alias("valid"))
+
+    def replay(self, generation: int) -> tuple[int, int]:
+        tail = self.log.filter(F.col("seq") >= generation * 100)
+        last = tail.agg(F.coalesce(F.max(F.when(F.col("kind") == "purchase", F.col("seq"))), F.lit(-1)).alias("last"))
+        done = F.col("seq") <= F.col("last")
+        return tuple(tail.crossJoin(F.broadcast(last)).agg(F.count_if(done), F.count_if(~done)).first())
+
+    def checkpoint(self, generation: int) -> None:
+        self.generation = generation
+
+    def reconcile(self) -> tuple[int, int]:
+        bad = F.col("kind") == "error"
+        return tuple(self.log.agg(F.count_if(bad), F.count_distinct(F.when(bad, F.col("ns")))).first())
+
+    def go_writable(self) -> None:
+        self.writable = True
+
+
+@query("""WITH c AS (SELECT event_id // 100 % 2 AS copy, max(CASE WHEN event_id // 100 % 7 <> 3 THEN event_id // 100 END) AS g FROM events GROUP BY 1), b AS (SELECT copy, g FROM c WHERE g IS NOT NULL ORDER BY g DESC, copy LIMIT 1),
+l AS (SELECT coalesce(max(event_id) FILTER (event_type = 'purchase'), -1) AS last FROM events, b WHERE event_id >= g * 100)
+SELECT 0::BIGINT AS step, 'probe' AS name, copy AS a, g AS b FROM b
+UNION ALL SELECT 1, 'replay', count(*) FILTER (event_id <= last), count(*) FILTER (event_id > last) FROM events, b, l WHERE event_id >= g * 100
+UNION ALL SELECT 2, 'checkpoint', g + 1, 0 FROM b UNION ALL SELECT 3, 'reconcile', count(*) FILTER (event_type = 'error'), count(DISTINCT user_id) FILTER (event_type = 'error') FROM events
+UNION ALL SELECT 4, 'writable', 0, 0""")
+def e8_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """The five steps over the event log, as their audit."""
+    log = t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("user_id").alias("ns"))
+    audit = recover(LogBackend(log))
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(audit)], "step long, name string, a long, b long")
+
+
 @query("""SELECT p_brand AS brand, count(*)::BIGINT AS n, sum(length(p_name) * 2)::BIGINT AS doubled FROM part GROUP BY 1""")
 def e9_registered_functions_addition(spark: SparkSession, d: str) -> DataFrame:
     """An addition: a user's function registered for SQL."""
@@ -232,14 +407,9 @@ def e9_registered_functions_addition(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT p_brand AS brand, count(*) AS n, sum(cairn_double(cast(length(p_name) AS bigint))) AS doubled FROM cairn_part GROUP BY p_brand")
 
 
-@query("SELECT count(*)::BIGINT AS chunks, sum(len)::BIGINT AS bytes FROM (SELECT octet_length(encode(text)) AS len FROM documents WHERE doc_id < 40 AND text <> '' AND octet_length(encode(text)) <= 2048)")
+@query()
 def e9_table_function_addition(spark: SparkSession, d: str) -> DataFrame:
-    """An addition: the chunker as a table function; objects below the least chunk are one chunk each."""
-    return _table_function(t(spark, d, "documents").filter("doc_id < 40 and octet_length(text) between 1 and 2048"))
-
-
-def _table_function(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
+    """An addition: the chunker as a table function over every object that has a byte, long ones cut into chunks."""
 
     @F.udtf(returnType="pos: int, length: int")
     class CairnChunks:
@@ -247,14 +417,8 @@ def _table_function(docs: DataFrame) -> DataFrame:
             yield from enumerate(fastcdc(bytes(data)))
 
     spark.udtf.register("cairn_chunks", CairnChunks)
-    docs.select(F.col("text").cast("binary").alias("data")).createOrReplaceTempView("cairn_small")
-    return spark.sql("SELECT count(*) AS chunks, sum(length) AS bytes FROM cairn_small, LATERAL cairn_chunks(data)")
-
-
-@query()
-def e9_table_function_addition_whole(spark: SparkSession, d: str) -> DataFrame:
-    """An addition: the chunker as a table function over every object that has a byte, long ones cut into chunks."""
-    return _table_function(t(spark, d, "documents").filter("octet_length(text) > 0"))
+    t(spark, d, "documents").filter("octet_length(text) > 0").select(F.col("text").cast("binary").alias("data")).createOrReplaceTempView("cairn_objects")
+    return spark.sql("SELECT count(*) AS chunks, sum(length) AS bytes FROM cairn_objects, LATERAL cairn_chunks(data)")
 
 
 _JOINS = {
@@ -282,21 +446,11 @@ def w22_rank_windows_addition(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", long(F.rank().over(w)).alias("r"), long(F.dense_rank().over(w)).alias("dr"), long(F.ntile(4).over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))).alias("quarter"), long(F.sum("p_size").over(w.rangeBetween(-2, 0))).alias("near"))
 
 
-@query("""SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, upper(event_type) AS kind, year(ts)::BIGINT AS y, list_sum([1, 2, user_id])::BIGINT AS total FROM events WHERE event_id < 500""")
+@query("""SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, upper(event_type) AS kind, year(ts)::BIGINT AS y, list_sum([1, 2, user_id])::BIGINT AS total FROM events""")
 def x23_builtins_addition(spark: SparkSession, d: str) -> DataFrame:
     """An addition: JSON, string, date and array built-ins."""
-    return _builtins(t(spark, d, "events").filter("event_id < 500"))
-
-
-def _builtins(e: DataFrame) -> DataFrame:
     total = F.aggregate(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.col("user_id")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.upper("event_type").alias("kind"), F.year("ts").cast("long").alias("y"), total.alias("total"))
-
-
-@query("""SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, upper(event_type) AS kind, year(ts)::BIGINT AS y, list_sum([1, 2, user_id])::BIGINT AS total FROM events""")
-def x23_builtins_addition_whole(spark: SparkSession, d: str) -> DataFrame:
-    """An addition: the same built-ins over every event."""
-    return _builtins(t(spark, d, "events"))
+    return t(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.upper("event_type").alias("kind"), F.year("ts").cast("long").alias("y"), total.alias("total"))
 
 
 @query("SELECT user_id AS ns, count(*)::BIGINT AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 12 HOUR GROUP BY 1")

@@ -48,7 +48,7 @@ def remove_range(logical: Column, physical: Column, length: Column, lo: Column,
     return F.when((hi <= lo) | (hi <= logical) | (lo >= end), whole).otherwise(F.filter(F.array(left, right), lambda x: x["length"] > 0))
 
 
-_PUNCH = """WITH {e}, x AS (SELECT file, logical, physical, length, {lo} AS lo, {hi} AS hi FROM extents WHERE file < 3000),
+_PUNCH = """WITH {e}, x AS (SELECT file, logical, physical, length, {lo} AS lo, {hi} AS hi FROM extents),
 p AS (SELECT file, logical, physical, length FROM x WHERE hi <= logical OR lo >= logical + length OR hi <= lo
  UNION ALL SELECT file, logical, physical, lo - logical FROM x WHERE NOT (hi <= logical OR lo >= logical + length OR hi <= lo) AND lo > logical
  UNION ALL SELECT file, greatest(hi, logical), physical + greatest(hi, logical) - logical, logical + length - greatest(hi, logical) FROM x WHERE NOT (hi <= logical OR lo >= logical + length OR hi <= lo) AND hi < logical + length)
@@ -56,7 +56,7 @@ SELECT file, logical::BIGINT AS logical, physical::BIGINT AS physical, length::B
 
 
 def _punched(spark: SparkSession, d: str, lo: Column, hi: Column) -> DataFrame:
-    x = fx.extents(spark, d).filter("file < 3000")
+    x = fx.extents(spark, d)
     c = F.col
     return x.select("file", F.explode(remove_range(c("logical"), c("physical"), c("length"), lo, hi)).alias("p")).select("file", "p.logical", "p.physical", "p.length")
 
@@ -152,11 +152,11 @@ def a27_physical_usage(spark: SparkSession, d: str) -> DataFrame:
     return fx.extents(spark, d).groupBy("file").agg(F.sum("length").alias("physical_blocks"), F.max(F.col("logical") + F.col("length")).alias("allocated"))
 
 
-@query(f"""WITH {fx.EXTENTS}, c AS (SELECT file + 1000000 AS file, logical, physical, length FROM extents WHERE file < 200), a AS (SELECT * FROM extents WHERE file < 200 UNION ALL SELECT * FROM c)
+@query(f"""WITH {fx.EXTENTS}, c AS (SELECT file + 1000000 AS file, logical, physical, length FROM extents), a AS (SELECT * FROM extents UNION ALL SELECT * FROM c)
 SELECT file, count(*)::BIGINT AS extents, sum(length)::BIGINT AS blocks, (SELECT count(*) FROM (SELECT physical FROM a GROUP BY physical, length HAVING count(*) > 1))::BIGINT AS shared FROM a GROUP BY file""")
 def j19_reflink(spark: SparkSession, d: str) -> DataFrame:
     """A clone shares all source extents: an insert-select of extent rows; shared ranges are those pinned twice."""
-    src = fx.extents(spark, d).filter("file < 200")
+    src = fx.extents(spark, d)
     both = src.unionByName(src.withColumn("file", F.col("file") + 1000000))
     shared = both.groupBy("physical", "length").count().filter("count > 1").select("physical").agg(F.count("*").alias("shared"))
     per = both.groupBy("file").agg(F.count("*").alias("extents"), F.sum("length").alias("blocks"))

@@ -1,14 +1,16 @@
 """Order-dependent operators: EWMAs, retention, hysteresis, rate limits, buckets, fair queues, zone plans.
 
-Folds that a window cannot express run as `aggregate` over a key's rows in order, inside the JVM: one row of state, one
-pass. Their memory is one key's rows, so keys are bounded units (a device, a namespace and day); where a key may hold
-a large part of all rows, the fold runs as a streaming operator with state instead (cairn.streaming).
+Folds that a window cannot express read rows sorted by key and order, in Arrow batches, and carry one key's state from
+row to row: time is linear in the rows and memory does not depend on how many a key has, so a key may hold a large part
+of all rows. Where a key's rows are bounded by their nature (a window a day), `aggregate` over an array folds inside the
+JVM. The streaming twins keep the same state across micro-batches (cairn.streaming).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,52 @@ def fold(start: Column, step: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate("rows", start, step)
 
 
-def scan(start: Column, step: Callable[[Column, Column], Column], empty: str) -> Column:
-    """All states after each row; state and output are one struct. `empty`: the type of an empty array of it."""
-    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(start)
-    return F.aggregate("rows", F.array().cast(empty), lambda acc, r: F.concat(acc, F.array(step(last(acc), r))))
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _carried(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: tuple, step: Callable, out: str, last: bool) -> DataFrame:
+    names, kinds = zip(*(c.split() for c in out.split(", ")), strict=True)
+    n, width = len(keys), len(keys) + (0 if last else len(order) + len(values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
+
+        def put(heads: list, made: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*heads, *(pa.array(c, _ARROW[k]) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=heads_ + list(names))
+
+        heads_ = [*keys] if last else [*keys, *order, *values]
+        types: list = []
+        for b in batches:
+            types = [f.type for f in b.schema][:n]
+            ended, made = [], []
+            for k, v in zip(zip(*(c.to_pylist() for c in b.columns[:n]), strict=True), zip(*(c.to_pylist() for c in b.columns[n:]), strict=True), strict=True):
+                if k != key:
+                    if last and key is not None:
+                        ended.append((key, state))
+                    key, state = k, start
+                state, row = step(state, *v)
+                if not last:
+                    made.append(row)
+            if made:
+                yield put(b.columns[:width], made)
+            if ended:
+                yield put([pa.array(c, ty) for c, ty in zip(zip(*(k for k, _ in ended), strict=True), types, strict=True)], [s for _, s in ended])
+        if last and key is not None:
+            yield put([pa.array([x], ty) for x, ty in zip(key, types, strict=True)], [state])
+
+    dealt = rows.select(*keys, *order, *values).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[:width]] + [out])
+    return dealt.mapInArrow(run, schema)
+
+
+def scan_in_order(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: tuple, step: Callable[..., tuple[tuple, tuple]], out: str) -> DataFrame:
+    """Every row with what `step(state, *order, *values) -> (state, output)` gives for it, a key's rows in order."""
+    return _carried(rows, keys, order, values, start, step, out, False)
+
+
+def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: tuple, step: Callable[..., tuple], out: str) -> DataFrame:
+    """One row per key: the state after all of its rows, `step(state, *order, *values) -> state`."""
+    return _carried(rows, keys, order, values, start, lambda s, *v: (step(s, *v), None), out, True)
 
 
 def long(x) -> Column:
@@ -136,9 +180,8 @@ def w2_suspicion(spark: SparkSession, d: str) -> DataFrame:
 SELECT ns, list_reduce(v, lambda c, n: c - (c >> 3) + (n >> 3)) AS ewma FROM l""")
 def w3_latency_ewma(spark: SparkSession, d: str) -> DataFrame:
     """The first sample sets the average; then an eighth of old is replaced by an eighth of new."""
-    o = in_order(fx.io_ops(spark, d).filter("op = 'read'"), ["ns"], ["seq"], ["latency_us"])
-    step = lambda c, r: F.when(c < 0, r["latency_us"]).otherwise(c - F.shiftright(c, 3) + F.shiftright(r["latency_us"], 3))
-    return o.select("ns", fold(long(-1), step).alias("ewma"))
+    step = lambda s, _, x: (x if s[0] is None else s[0] - (s[0] >> 3) + (x >> 3),)
+    return fold_in_order(fx.io_ops(spark, d).filter("op = 'read'"), ["ns"], ["seq"], ["latency_us"], (None,), step, "ewma long")
 
 
 def retention(snaps: DataFrame, hourly: int, daily: int, weekly: int, monthly: int, yearly: int) -> DataFrame:
@@ -222,16 +265,15 @@ SELECT g, e, best FROM n WHERE ok AND k % 2 = 0""")
 def w5_tier_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     """Migrate when the same better tier leads by the margin for two epochs; any other epoch, and a migration, starts over."""
     w = fx.io_ops(spark, d).groupBy((F.col("ns") % 16).alias("g"), F.floor(F.col("t") / 86400).alias("e")).agg((F.sum("bytes") % 3).alias("best"), (F.sum("latency_us") % 10).alias("lead"))
-    zero = F.struct(long(0).alias("e"), long(-1).alias("cand"), long(0).alias("streak"), F.lit(False).alias("fired"))
 
-    def step(s: Column, r: Column) -> Column:
-        ok = (r["best"] != 0) & (r["lead"] > 4)
-        streak = F.when(~ok, 0).when(s["cand"] == r["best"], s["streak"] + 1).otherwise(1)
-        fired = ok & (streak >= 2)
-        return F.struct(r["e"].alias("e"), F.when(ok & ~fired, r["best"]).otherwise(long(-1)).alias("cand"), F.when(fired, long(0)).otherwise(streak).cast("long").alias("streak"), fired.alias("fired"))
+    def step(s: tuple, _: int, best: int, lead: int) -> tuple[tuple, tuple]:
+        cand, streak = s
+        if best == 0 or lead <= 4:
+            return (-1, 0), (False,)
+        streak = streak + 1 if cand == best else 1
+        return ((-1, 0), (True,)) if streak >= 2 else ((best, streak), (False,))
 
-    out = in_order(w, ["g"], ["e"], ["best", "lead"]).select("g", F.explode(F.arrays_zip(scan(zero, step, "array<struct<e:bigint,cand:bigint,streak:bigint,fired:boolean>>").alias("s"), F.col("rows").alias("r"))).alias("z"))
-    return out.filter("z.s.fired").select("g", "z.r.e", "z.r.best")
+    return scan_in_order(w, ["g"], ["e"], ["best", "lead"], (-1, 0), step, "fired boolean").filter("fired").select("g", "e", "best")
 
 
 @query(f"""WITH {fx.IO_OPS}, w AS (SELECT ns % 40 AS g, t // 86400 AS e, count(*) AS n FROM io_ops GROUP BY 1, 2), l AS (SELECT g, list(e ORDER BY e) AS es FROM w GROUP BY g),
@@ -240,8 +282,8 @@ SELECT g, unnest(kept[2:]) AS e FROM f""")
 def w9_advisory_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Emit if five windows have passed since the last emission; greedy, so the last emission is carried, not the last row."""
     w = fx.io_ops(spark, d).select((F.col("ns") % 40).alias("g"), F.floor(F.col("t") / 86400).alias("e")).distinct()
-    keep = lambda acc, r: F.when((F.size(acc) == 0) | (r["e"] - F.try_element_at(acc, F.lit(-1)) >= 5), F.concat(acc, F.array(r["e"]))).otherwise(acc)
-    return in_order(w, ["g"], ["e"], []).select("g", F.explode(fold(F.array().cast("array<bigint>"), keep)).alias("e"))
+    step = lambda s, e: ((e,), (True,)) if s[0] is None or e - s[0] >= 5 else (s, (False,))
+    return scan_in_order(w, ["g"], ["e"], [], (None,), step, "kept boolean").filter("kept").select("g", "e")
 
 
 @query(f"""WITH {fx.IO_OPS}, p AS (SELECT block % 25 AS a, lead(block % 25) OVER (PARTITION BY ns ORDER BY seq) AS b, ns, seq FROM io_ops), q AS (SELECT a, b, seq FROM p WHERE b IS NOT NULL),
@@ -252,9 +294,13 @@ def w12_next_block(spark: SparkSession, d: str) -> DataFrame:
     """A majority vote per block on what follows it: agreement adds, disagreement takes away, an empty vote is replaced."""
     o = fx.io_ops(spark, d).withColumn("a", F.col("block") % 25)
     p = o.withColumn("b", F.lead("a").over(Window.partitionBy("ns").orderBy("seq"))).filter("b is not null")
-    zero = F.struct(long(-1).alias("n"), long(0).alias("c"))
-    vote = lambda s, r: F.when(s["n"] == r["b"], F.struct(s["n"].alias("n"), (s["c"] + 1).alias("c"))).when(s["c"] <= 1, F.struct(r["b"].alias("n"), long(1).alias("c"))).otherwise(F.struct(s["n"].alias("n"), (s["c"] - 1).alias("c")))
-    return in_order(p, ["a"], ["seq"], ["b"]).select(F.col("a").alias("block"), fold(zero, vote).alias("s")).select("block", F.col("s.n").alias("next"), F.col("s.c").alias("confidence"), (F.col("s.c") > 2).alias("predicts"))
+
+    def vote(s: tuple, _: int, b: int) -> tuple:
+        n, c = s
+        return (n, c + 1) if n == b else (b, 1) if c <= 1 else (n, c - 1)
+
+    out = fold_in_order(p, ["a"], ["seq"], ["b"], (-1, 0), vote, "next long, confidence long")
+    return out.select(F.col("a").alias("block"), "next", "confidence", (F.col("confidence") > 2).alias("predicts"))
 
 
 @query(f"WITH {fx.IO_OPS}, r AS (SELECT ns, block, seq, row_number() OVER (PARTITION BY ns, block ORDER BY seq) AS n FROM io_ops WHERE op = 'write') SELECT ns, block, seq FROM r WHERE n % 3 = 0")
@@ -273,20 +319,20 @@ def w14_compression_tier(spark: SparkSession, d: str) -> DataFrame:
     return m.select("inode", F.when(F.col("n") < 2, "probe").when(F.col("ratio") < 1.2, "raw").when(F.col("bps") < 262144000, "hot").otherwise("warm").alias("tier"))
 
 
-def token_bucket(rate_b: int, rate_o: int, burst_b: int, burst_o: int):
-    """Start state and step over rows (t seconds, bytes, cost): refill by time up to the burst, charge bytes and operations or refuse."""
-    zero = F.struct(long(burst_b).alias("b"), long(burst_o).alias("o"), long(0).alias("at"), F.lit(False).alias("ok"))
+def token_bucket(rate_b: int, rate_o: int, burst_b: int, burst_o: int) -> tuple[tuple, Callable]:
+    """Start state and step over rows (t seconds, seq, bytes): refill by time up to the burst, charge bytes and one operation or refuse."""
 
-    def step(s: Column, r: Column) -> Column:
-        dt = F.greatest(r["t"] - s["at"], F.lit(0))
-        b, o = F.least(s["b"] + dt * rate_b, F.lit(burst_b)), F.least(s["o"] + dt * rate_o, F.lit(burst_o))
-        ok = (b >= r["bytes"]) & (o >= 1)
-        return F.struct(long(F.when(ok, b - r["bytes"]).otherwise(b)).alias("b"), long(F.when(ok, o - 1).otherwise(o)).alias("o"), F.greatest(r["t"], s["at"]).alias("at"), ok.alias("ok"))
+    def step(s: tuple, t_: int, _: int, size: int, *more: object) -> tuple[tuple, tuple]:
+        b, o, at = s
+        dt = max(t_ - at, 0)
+        b, o = min(b + dt * rate_b, burst_b), min(o + dt * rate_o, burst_o)
+        if ok := b >= size and o >= 1:
+            b, o = b - size, o - 1
+        return (b, o, max(t_, at)), (ok, b)
 
-    return zero, step
+    return (burst_b, burst_o, 0), step
 
 
-_BUCKET_T = "array<struct<b:bigint,o:bigint,at:bigint,ok:boolean>>"
 _BUCKET_SQL = f"""WITH {fx.IO_OPS}, l AS (SELECT ns, list({{'t': t, 'bytes': bytes, 'seq': seq, 'op': op}} ORDER BY t, seq) AS rs FROM io_ops GROUP BY ns),
 f AS (SELECT ns, rs, list_reduce(rs, lambda a, r: list_append(a, {{'b': CASE WHEN least(a[-1].b + greatest(r.t - a[-1].at_, 0) * 1, 60000) >= r.bytes AND least(a[-1].o + greatest(r.t - a[-1].at_, 0) * 1, 10) >= 1 THEN least(a[-1].b + greatest(r.t - a[-1].at_, 0), 60000) - r.bytes ELSE least(a[-1].b + greatest(r.t - a[-1].at_, 0), 60000) END,
  'o': CASE WHEN least(a[-1].b + greatest(r.t - a[-1].at_, 0), 60000) >= r.bytes AND least(a[-1].o + greatest(r.t - a[-1].at_, 0), 10) >= 1 THEN least(a[-1].o + greatest(r.t - a[-1].at_, 0), 10) - 1 ELSE least(a[-1].o + greatest(r.t - a[-1].at_, 0), 10) END,
@@ -295,21 +341,20 @@ z AS (SELECT ns, unnest(range(1, len(rs) + 1)) AS i, rs, st FROM f) """
 
 
 def _bucketed(spark: SparkSession, d: str) -> DataFrame:
-    zero, step = token_bucket(1, 1, 60000, 10)
-    rows = in_order(fx.io_ops(spark, d), ["ns"], ["t", "seq"], ["bytes", "op"])
-    return rows.select("ns", F.explode(F.arrays_zip(F.col("rows").alias("r"), scan(zero, step, _BUCKET_T).alias("s"))).alias("z"))
+    start, step = token_bucket(1, 1, 60000, 10)
+    return scan_in_order(fx.io_ops(spark, d), ["ns"], ["t", "seq"], ["bytes", "op"], start, step, "admitted boolean, tokens long")
 
 
 @query(_BUCKET_SQL + "SELECT ns, rs[i].seq AS seq, st[i + 1].ok AS admitted, st[i + 1].b AS tokens FROM z")
 def w15_token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return _bucketed(spark, d).select("ns", F.col("z.r.seq").alias("seq"), F.col("z.s.ok").alias("admitted"), F.col("z.s.b").alias("tokens"))
+    return _bucketed(spark, d).select("ns", "seq", "admitted", "tokens")
 
 
 @query(_BUCKET_SQL + "SELECT ns, rs[i].seq AS seq, CASE WHEN ns % 9 = 0 THEN 'denied' WHEN st[i + 1].ok THEN 'admitted' WHEN rs[i].op = 'sync' THEN 'overrun' ELSE 'delayed' END AS admission FROM z")
 def w18_shard_gate(spark: SparkSession, d: str) -> DataFrame:
     """Quota denial first, then the bucket; the realtime class (sync here) may overrun, others wait."""
-    a = F.when(F.col("ns") % 9 == 0, "denied").when(F.col("z.s.ok"), "admitted").when(F.col("z.r.op") == "sync", "overrun").otherwise("delayed")
-    return _bucketed(spark, d).select("ns", F.col("z.r.seq").alias("seq"), a.alias("admission"))
+    a = F.when(F.col("ns") % 9 == 0, "denied").when(F.col("admitted"), "admitted").when(F.col("op") == "sync", "overrun").otherwise("delayed")
+    return _bucketed(spark, d).select("ns", "seq", a.alias("admission"))
 
 
 @query("""WITH e AS (SELECT o_custkey AS ns, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * floor(o_totalprice / 100)::BIGINT AS d FROM orders),
@@ -343,6 +388,5 @@ f AS (SELECT ns, list_reduce(ts, lambda s, w: CASE WHEN w > s[1] THEN [w, 0] ELS
 def w19_hybrid_clock(spark: SparkSession, d: str) -> DataFrame:
     """Physical time is the maximum seen; a reading not beyond it bumps the logical part, up to its cap."""
     o = fx.io_ops(spark, d).withColumn("w", F.floor(F.col("t") / 3600) - F.when(F.col("seq") % 5 == 0, 40).otherwise(0))
-    zero = F.struct(long(0).alias("p"), long(0).alias("l"))
-    step = lambda s, r: F.when(r["w"] > s["p"], F.struct(r["w"].alias("p"), long(0).alias("l"))).otherwise(F.struct(s["p"].alias("p"), F.least(s["l"] + 1, F.lit(999999)).alias("l")))
-    return in_order(o, ["ns"], ["seq"], ["w"]).select("ns", fold(zero, step).alias("s")).select("ns", F.col("s.p").alias("physical"), F.col("s.l").alias("logical"))
+    step = lambda s, _, w: (w, 0) if w > s[0] else (s[0], min(s[1] + 1, 999999))
+    return fold_in_order(o, ["ns"], ["seq"], ["w"], (0, 0), step, "physical long, logical long")

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.ordered import in_order, long, scan
+from cairn.operators.intervals import bucketed
+from cairn.operators.ordered import fold_in_order, scan_in_order
 from cairn.plans.registry import query
+from cairn.shared import stash, workspace
 from cairn.sources import fixtures as fx
 from cairn.sources.fixtures import t
 
@@ -73,18 +75,34 @@ def rebalance_targets(devices: DataFrame) -> DataFrame:
     return x.withColumn("target", target.cast("long"))
 
 
+def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` up to and with each one in a global order: sums by range first, then within the ranges."""
+    ranged = stash(rows.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = ranged.groupBy("_r").agg(F.sum(value).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("_in", F.sum(value).over(inside)).join(F.broadcast(sums), "_r").withColumn(name, F.col("_before") + F.col("_in")).drop("_r", "_in", "_before")
+
+
 def rebalance_moves(targets: DataFrame, budget: int) -> DataFrame:
-    """Greedy two-pointer moves, as the overlaps of two running sums cut at the budget: leaving sources first, then the fullest; emptiest destinations first."""
+    """Greedy two-pointer moves, as the overlaps of two running sums cut at the budget: leaving sources first, then the fullest; emptiest destinations first.
+
+    What sources and destinations cover is disjoint on either side, so cut at fixed bounds both have few pieces, and overlaps are an equi join.
+    """
     gap = F.col("used") - F.col("target")
-    src = targets.filter((F.col("capacity") > 0) & (gap > 0)).select("device", gap.alias("n"), "leaving")
-    dst = targets.filter((F.col("capacity") > 0) & (gap < 0) & ~F.col("leaving")).select("device", (-gap).alias("n"))
-    upto = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    s = src.withColumn("hi", upto(Window.orderBy(F.desc("leaving"), F.desc("n"), "device"))).select(F.col("device").alias("from"), (F.col("hi") - F.col("n")).alias("lo_s"), F.col("hi").alias("hi_s"))
-    e = dst.withColumn("hi", upto(Window.orderBy(F.desc("n"), "device"))).select(F.col("device").alias("to"), (F.col("hi") - F.col("n")).alias("lo_d"), F.col("hi").alias("hi_d"))
-    s, e = s.filter(F.col("lo_s") < budget), e.filter(F.col("lo_d") < budget)
-    j = s.join(e, (F.col("lo_s") < F.col("hi_d")) & (F.col("lo_d") < F.col("hi_s")))  # one row a device; at most sources + destinations pairs
-    n = F.least(F.col("hi_s"), F.col("hi_d"), F.lit(budget)) - F.greatest("lo_s", "lo_d")
-    return j.select("from", "to", n.alias("bytes")).filter("bytes > 0")
+    with workspace(targets.sparkSession):
+        targets = stash(targets.filter("capacity > 0"), "targets")
+        src = targets.filter(gap > 0).select("device", gap.alias("n"), "leaving")
+        dst = targets.filter((gap < 0) & ~F.col("leaving")).select("device", (-gap).alias("n"))
+        s = running_sum(src, [F.desc("leaving"), F.desc("n"), F.col("device")], "n", "hi").select(F.col("device").alias("from"), (F.col("hi") - F.col("n")).alias("lo_s"), F.least("hi", F.lit(budget)).alias("hi_s"))
+        e = running_sum(dst, [F.desc("n"), F.col("device")], "n", "hi").select(F.col("device").alias("to"), (F.col("hi") - F.col("n")).alias("lo_d"), F.least("hi", F.lit(budget)).alias("hi_d"))
+        width = max(1, budget // 1024)
+        s = bucketed(s.withColumn("n", F.col("hi_s") - F.col("lo_s")), "lo_s", "n", width).drop("n")
+        e = bucketed(e.withColumn("n", F.col("hi_d") - F.col("lo_d")), "lo_d", "n", width).drop("n")
+        j = s.join(e, "_b")
+        j = j.filter((F.col("lo_s") < F.col("hi_d")) & (F.col("lo_d") < F.col("hi_s")) & (F.col("_b") == F.floor(F.greatest("lo_s", "lo_d") / width)))
+        n = F.least("hi_s", "hi_d") - F.greatest("lo_s", "lo_d")
+        return stash(j.select("from", "to", n.alias("bytes")).filter("bytes > 0"), "moves", keep=True)
 
 
 _TARGETS = f"""{fx.DEVICES}, pool AS (SELECT sum(used)::BIGINT AS u, sum(capacity) FILTER (NOT leaving)::BIGINT AS c FROM devices),
@@ -106,18 +124,73 @@ def t5_rebalance_moves(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_TARGETS} SELECT device, CASE WHEN leaving THEN used = 0 ELSE abs(used - target) <= greatest(capacity // 100, 1) END AS balanced FROM tg""")
 def t11_pool_balanced(spark: SparkSession, d: str) -> DataFrame:
     """The check that ends a rebalance loop, by device."""
-    slack = F.greatest(F.expr("capacity div 100"), F.lit(1))
-    ok = F.when(F.col("leaving"), F.col("used") == 0).otherwise(F.abs(F.col("used") - F.col("target")) <= slack)
-    return rebalance_targets(fx.devices(spark, d)).select("device", ok.alias("balanced"))
+    s = rebalance_targets(fx.devices(spark, d))
+    return s.select("device", _balanced(s).alias("balanced"))
 
 
-def until_settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], settled: Callable[[DataFrame], bool], rounds: int) -> Iterator[DataFrame]:
-    """Driver control of a planning loop: each round's plan table, until nothing is left to do."""
-    for _ in range(rounds):
+def until_settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], settled: Callable[[DataFrame], bool], rounds: int) -> tuple[DataFrame, int]:
+    """Driver control of a planning loop: each round's state is a table; the last state and the rounds that were needed."""
+    for done in range(rounds):
         if settled(state):
-            return
-        state = step(state)
-        yield state
+            return state, done
+        state = stash(step(state), "round", keep=True)
+    return state, rounds
+
+
+def _balanced(state: DataFrame) -> Column:
+    slack = F.greatest(F.expr("capacity div 100"), F.lit(1))
+    return F.when(F.col("leaving"), F.col("used") == 0).otherwise(F.abs(F.col("used") - F.col("target")) <= slack)
+
+
+def rebalance_loop(devices: DataFrame, budget: int, rounds: int) -> tuple[DataFrame, int]:
+    """Targets are set anew each round, at most `budget` moves, and devices are as full as the moves leave them, until all are balanced or nothing moves."""
+    settled = lambda s: not rebalance_targets(s.drop("moved")).filter(~_balanced(s)).limit(1).count() or ("moved" in s.columns and not s.filter("moved > 0").limit(1).count())
+
+    def step(s: DataFrame) -> DataFrame:
+        s = s.drop("moved")
+        m = rebalance_moves(rebalance_targets(s), budget)
+        change = m.select(F.col("from").alias("_d"), (-F.col("bytes")).alias("x")).unionByName(m.select(F.col("to").alias("_d"), F.col("bytes").alias("x"))).groupBy("_d").agg(F.sum("x").alias("x"), F.sum(F.abs("x")).alias("moved"))
+        out = s.join(change, F.col("device") == F.col("_d"), "left").withColumn("used", F.col("used") + F.coalesce("x", F.lit(0)))
+        return out.select(*s.columns, F.coalesce("moved", F.lit(0)).alias("moved"))
+
+    return until_settled(devices, step, settled, rounds)
+
+
+@query()
+def t11_rebalance_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The pool after at most eight rounds, each with a budget of a million: what every device holds, and how many rounds it took."""
+    out, rounds = rebalance_loop(fx.devices(spark, d), 1_000_000, 8)
+    return out.select("device", "used", F.lit(rounds).cast("long").alias("rounds"))
+
+
+def gc_loop(segments: DataFrame, free: int, total: int, half_life_s: int, rounds: int) -> tuple[DataFrame, int]:
+    """Collect the planned segments and plan again, until a quarter of the space is free, nothing is left to gain, or the rounds are over.
+
+    A collected segment's live bytes go to one new segment a round; `free` is what the pool has beyond its segments.
+    """
+
+    def spare(s: DataFrame) -> int:
+        return total - int(s.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) + free
+
+    def settled(s: DataFrame) -> bool:
+        return spare(s) * 100 >= total * 25 or not s.filter("total > live").limit(1).count()
+
+    def step(s: DataFrame) -> DataFrame:
+        plan = gc_plan(s, total, max(0, spare(s)), half_life_s).select("segment")  # at most twelve rows
+        taken = s.join(F.broadcast(plan), "segment", "left_semi")
+        new = taken.agg(F.min("segment").alias("segment"), F.sum("live").alias("total"), F.sum("live").alias("live"), F.lit(0).cast("long").alias("age_s"), (F.max("cycles") + 1).alias("cycles")).filter("total is not null")
+        return s.join(F.broadcast(plan), "segment", "left_anti").select("segment", "total", "live", "age_s", "cycles").unionByName(new.select(*[F.col(c).cast(s.schema[c].dataType).alias(c) for c in ("segment", "total", "live", "age_s", "cycles")]))
+
+    return until_settled(segments.select("segment", "total", "live", "age_s", "cycles"), step, settled, rounds)
+
+
+@query()
+def t11_gc_loop(spark: SparkSession, d: str) -> DataFrame:
+    """What six rounds of collection leave of the segments."""
+    s = fx.segments(spark, d)
+    total = int(s.agg(F.sum("total")).first()[0])
+    out, rounds = gc_loop(s, total // 20, total, 86400, 6)
+    return out.select("segment", "total", "live", F.lit(rounds).cast("long").alias("rounds"))
 
 
 @query("WITH b AS (SELECT s_suppkey AS band, 1000 AS cap, (s_suppkey * 53) % 1000 AS live, s_suppkey % 3 AS wp FROM supplier) SELECT band, live FROM b WHERE (cap - live) * 2 >= cap AND wp > 0 ORDER BY band")
@@ -192,17 +265,16 @@ def w21_band_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w7_online_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Gradient steps on the placement weights, clamped to +-50: a fold per device, in event order."""
+    """Gradient steps on the placement weights, clamped to +-50, in event order. The reference keeps one set of weights for a node; here a node is a group of sixteen namespaces."""
     o = fx.io_ops(spark, d).select((F.col("ns") % 16).alias("g"), "seq", (F.col("latency_us") / 10000.0).alias("cost"), (F.col("block") / 50.0).alias("x"))
-    zero = F.struct(F.lit(1.0).alias("w0"), F.lit(-0.05).alias("w1"))
 
-    def step(s: Column, r: Column) -> Column:
-        err = r["cost"] + s["w0"] + s["w1"] * r["x"]
-        clamp = lambda v: F.least(F.greatest(v, F.lit(-50.0)), F.lit(50.0))
-        return F.struct(clamp(s["w0"] - 0.01 * err).alias("w0"), clamp(s["w1"] - 0.01 * err * r["x"]).alias("w1"))
+    def step(s: tuple, _: int, cost: float, x: float) -> tuple:
+        w0, w1 = s
+        err = cost + w0 + w1 * x
+        return min(max(w0 - 0.01 * err, -50.0), 50.0), min(max(w1 - 0.01 * err * x, -50.0), 50.0)
 
-    rows = in_order(o, ["g"], ["seq"], ["cost", "x"])
-    return rows.select("g", F.aggregate("rows", zero, step).alias("w")).select("g", F.round("w.w0", 9).alias("w0"), F.round("w.w1", 9).alias("w1"))
+    out = fold_in_order(o, ["g"], ["seq"], ["cost", "x"], (1.0, -0.05), step, "w0 double, w1 double")
+    return out.select("g", F.round("w0", 9).alias("w0"), F.round("w1", 9).alias("w1"))
 
 
 def victims(segments: DataFrame, threshold: float) -> DataFrame:
@@ -233,15 +305,15 @@ z AS (SELECT ns, unnest(range(1, len(st))) AS i, st FROM f)
 SELECT ns, st[i + 1].w AS "window", count(*)::BIGINT AS records, max(st[i + 1].b) AS bytes, bool_or(st[i + 1].fl) AS closed FROM z GROUP BY ns, st[i + 1].w""")
 def r2_commit_windows(spark: SparkSession, d: str) -> DataFrame:
     """A window is ready at a byte or a record budget, whichever comes first; the next record opens the next one."""
-    rows = in_order(fx.io_ops(spark, d).filter("op = 'write'"), ["ns"], ["seq"], ["bytes"])
-    zero = F.struct(long(0).alias("w"), long(0).alias("b"), long(0).alias("n"), F.lit(False).alias("fl"))
 
-    def step(s: Column, r: Column) -> Column:
-        b, n = F.when(s["fl"], long(0)).otherwise(s["b"]) + r["bytes"], F.when(s["fl"], long(0)).otherwise(s["n"]) + 1
-        return F.struct((s["w"] + s["fl"].cast("long")).alias("w"), b.alias("b"), n.alias("n"), ((b >= 40000) | (n >= 8)).alias("fl"))
+    def step(s: tuple, _: int, size: int) -> tuple[tuple, tuple]:
+        w, b, n, full = s
+        w, b, n = (w + 1, size, 1) if full else (w, b + size, n + 1)
+        full = b >= 40000 or n >= 8
+        return (w, b, n, full), (w, b, full)
 
-    st = rows.select("ns", F.explode(scan(zero, step, "array<struct<w:bigint,b:bigint,n:bigint,fl:boolean>>")).alias("s"))
-    return st.groupBy("ns", F.col("s.w").alias("window")).agg(F.count("*").alias("records"), F.max("s.b").alias("bytes"), F.bool_or("s.fl").alias("closed"))
+    st = scan_in_order(fx.io_ops(spark, d).filter("op = 'write'"), ["ns"], ["seq"], ["bytes"], (0, 0, 0, False), step, "window long, upto long, closed boolean")
+    return st.groupBy("ns", "window").agg(F.count("*").alias("records"), F.max("upto").alias("bytes"), F.bool_or("closed").alias("closed"))
 
 
 @query("WITH c AS (SELECT user_id AS ns, max(event_id) AS upto FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT e.user_id AS ns, count(*)::BIGINT AS durable FROM events e JOIN c ON e.user_id = c.ns AND e.event_id <= c.upto WHERE event_type <> 'purchase' GROUP BY 1")

@@ -30,8 +30,7 @@ def check_mode(mode: Column, uid: Column, gid: Column, owner: Column, group: Col
     return (uid == 0) | (want == 0) | (bits.bitwiseAND(want) == want)
 
 
-_ACCESS = "a AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey % 512)::BIGINT AS mode, l_suppkey % 4 AS uid, l_partkey % 3 AS gid, l_orderkey % 4 AS owner, l_linenumber % 3 AS grp, l_orderkey % 8 AS want FROM lineitem WHERE l_orderkey < 2000)"
-_ACCESS_WHOLE = "a AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey % 512)::BIGINT AS mode, l_suppkey % 4 AS uid, l_partkey % 3 AS gid, l_orderkey % 4 AS owner, l_linenumber % 3 AS grp, l_orderkey % 8 AS want FROM lineitem)"
+_ACCESS = "a AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey % 512)::BIGINT AS mode, l_suppkey % 4 AS uid, l_partkey % 3 AS gid, l_orderkey % 4 AS owner, l_linenumber % 3 AS grp, l_orderkey % 8 AS want FROM lineitem)"
 
 
 def _access(x: DataFrame) -> DataFrame:
@@ -40,17 +39,8 @@ def _access(x: DataFrame) -> DataFrame:
 
 @query(f"""WITH {_ACCESS} SELECT k, n, mode, uid = 0 OR want = 0 OR ((CASE WHEN uid = owner THEN mode >> 6 WHEN gid = grp THEN mode >> 3 ELSE mode END) & 7 & want) = want AS ok FROM a""")
 def f2_mode_check(spark: SparkSession, d: str) -> DataFrame:
-    return _mode_check(t(spark, d, "lineitem").filter("l_orderkey < 2000"))
-
-
-def _mode_check(x: DataFrame) -> DataFrame:
     c = F.col
-    return _access(x).select("k", "n", "mode", check_mode(c("mode"), c("uid"), c("gid"), c("owner"), c("grp"), c("want")).alias("ok"))
-
-
-@query(f"""WITH {_ACCESS_WHOLE} SELECT k, n, mode, uid = 0 OR want = 0 OR ((CASE WHEN uid = owner THEN mode >> 6 WHEN gid = grp THEN mode >> 3 ELSE mode END) & 7 & want) = want AS ok FROM a""")
-def f2_mode_check_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _mode_check(t(spark, d, "lineitem"))
+    return _access(t(spark, d, "lineitem")).select("k", "n", "mode", check_mode(c("mode"), c("uid"), c("gid"), c("owner"), c("grp"), c("want")).alias("ok"))
 
 
 def perm(acl: str, tag: str, ident: Column | None = None) -> Column:
@@ -182,11 +172,11 @@ def split_aligned(offset: Column, length: Column, unit: int) -> Column:
     return F.when(length > 0, F.transform(F.sequence(first, last), part)).otherwise(F.array())
 
 
-@query(f"""WITH {fx.EXTENTS}, e AS (SELECT DISTINCT physical AS o, length * 7 AS n FROM extents WHERE file < 500),
+@query(f"""WITH {fx.EXTENTS}, e AS (SELECT DISTINCT physical AS o, length * 7 AS n FROM extents),
 x AS (SELECT o, n, unnest(range(o // 64, (o + n - 1) // 64 + 1)) AS i FROM e)
 SELECT o AS offset, n AS len, (o // 64) * 64 AS low, ((o + n + 63) // 64) * 64 AS high, greatest(o, i * 64) AS part_start, least(o + n, (i + 1) * 64) - greatest(o, i * 64) AS part_len FROM x""")
 def f10_alignment(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.extents(spark, d).filter("file < 500").select(F.col("physical").alias("offset"), (F.col("length") * 7).alias("len")).distinct()
+    e = fx.extents(spark, d).select(F.col("physical").alias("offset"), (F.col("length") * 7).alias("len")).distinct()
     o, n = F.col("offset"), F.col("len")
     e = e.withColumn("p", F.explode(split_aligned(o, n, 64)))
     return e.select("offset", "len", (F.floor(o / 64) * 64).alias("low"), (F.ceil((o + n) / 64) * 64).alias("high"), F.col("p.start").alias("part_start"), F.col("p.len").alias("part_len"))
@@ -194,27 +184,16 @@ def f10_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT s_suppkey AS band, s_suppkey * 1000 AS start, (s_suppkey * 37) % 900 AS wp, s_suppkey % 6 = 0 AS reclaiming FROM supplier WHERE s_suppkey % 4 <> 3)
 SELECT l_orderkey, l_linenumber, CASE WHEN b.band IS NULL THEN 'ok' WHEN reclaiming OR l_suppkey * 1000 + (l_suppkey * 37) % 900 + (l_linenumber % 2) - start <> wp THEN 'rejected' ELSE 'ok' END AS verdict
-FROM lineitem LEFT JOIN b ON l_suppkey = band WHERE l_orderkey < 1000""")
+FROM lineitem LEFT JOIN b ON l_suppkey = band""")
 def f11_smr_write(spark: SparkSession, d: str) -> DataFrame:
-    return _smr_write(t(spark, d, "lineitem").filter("l_orderkey < 1000"), t(spark, d, "supplier"))
-
-
-def _smr_write(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
     s = F.col("s_suppkey")
-    bands = suppliers.filter(s % 4 != 3).select(s.alias("band"), (s * 1000).alias("start"), ((s * 37) % 900).alias("wp"), (s % 6 == 0).alias("reclaiming"))
+    bands = t(spark, d, "supplier").filter(s % 4 != 3).select(s.alias("band"), (s * 1000).alias("start"), ((s * 37) % 900).alias("wp"), (s % 6 == 0).alias("reclaiming"))
     k = F.col("l_suppkey")
-    writes = lines.withColumn("offset", k * 1000 + (k * 37) % 900 + F.col("l_linenumber") % 2)
+    writes = t(spark, d, "lineitem").withColumn("offset", k * 1000 + (k * 37) % 900 + F.col("l_linenumber") % 2)
     bad = F.col("reclaiming") | (F.col("offset") - F.col("start") != F.col("wp"))
     return writes.join(bands, k == F.col("band"), "left").select("l_orderkey", "l_linenumber", F.when(F.col("band").isNull() | ~bad, "ok").otherwise("rejected").alias("verdict"))
 
 
-@query("""WITH b AS (SELECT s_suppkey AS band, s_suppkey * 1000 AS start, (s_suppkey * 37) % 900 AS wp, s_suppkey % 6 = 0 AS reclaiming FROM supplier WHERE s_suppkey % 4 <> 3)
-SELECT l_orderkey, l_linenumber, CASE WHEN b.band IS NULL THEN 'ok' WHEN reclaiming OR l_suppkey * 1000 + (l_suppkey * 37) % 900 + (l_linenumber % 2) - start <> wp THEN 'rejected' ELSE 'ok' END AS verdict
-FROM lineitem LEFT JOIN b ON l_suppkey = band""")
-def f11_smr_write_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _smr_write(t(spark, d, "lineitem"), t(spark, d, "supplier"))
-
-
 @query(f"""WITH {fx.FREE_RUNS}, c AS (SELECT * FROM free_runs WHERE len >= 20)
 SELECT (SELECT min(start) FROM c) AS first_fit, (SELECT min(start) FROM c WHERE len = (SELECT min(len) FROM c)) AS best_fit, (SELECT max(start) FROM c WHERE len = (SELECT max(len) FROM c)) AS worst_fit""")
 def f12_allocation_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -280,19 +259,10 @@ def f18_media_policy(spark: SparkSession, d: str) -> DataFrame:
     return s.join(F.broadcast(m), s["s_suppkey"] % 7 == m["i"]).select("s_suppkey", "media", "placement", F.coalesce(F.when(F.col("s_suppkey") % 3 == 0, 8192), "unit").cast("long").alias("unit"), "append")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 100 < 64 AND l_quantity * 1024 >= 16384 THEN 'qat' WHEN l_linenumber % 3 > 0 THEN 'simd' ELSE 'software' END AS backend FROM lineitem WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 100 < 64 AND l_quantity * 1024 >= 16384 THEN 'qat' WHEN l_linenumber % 3 > 0 THEN 'simd' ELSE 'software' END AS backend FROM lineitem")
 def f19_accelerator(spark: SparkSession, d: str) -> DataFrame:
-    return _accelerator(t(spark, d, "lineitem").filter("l_orderkey < 1000"))
-
-
-def _accelerator(lines: DataFrame) -> DataFrame:
     qat = (F.col("l_suppkey") % 2 == 0) & (F.col("l_partkey") % 100 < 64) & (F.col("l_quantity") * 1024 >= 16384)
-    return lines.select("l_orderkey", "l_linenumber", F.when(qat, "qat").when(F.col("l_linenumber") % 3 > 0, "simd").otherwise("software").alias("backend"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 100 < 64 AND l_quantity * 1024 >= 16384 THEN 'qat' WHEN l_linenumber % 3 > 0 THEN 'simd' ELSE 'software' END AS backend FROM lineitem")
-def f19_accelerator_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _accelerator(t(spark, d, "lineitem"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(qat, "qat").when(F.col("l_linenumber") % 3 > 0, "simd").otherwise("software").alias("backend"))
 
 
 def risk_band(x100: Column) -> Column:
@@ -363,23 +333,12 @@ def f25_cache_resize(spark: SparkSession, d: str) -> DataFrame:
     return seq.withColumn("c", resize_cache(F.col("w"))).select("ns", "c.inodes", "c.extents")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS seq, 'host' || o_custkey % 40 AS host, 'tag' || (o_orderkey % 60) AS tag FROM orders WHERE o_orderkey < 3000),
+@query("""WITH e AS (SELECT o_orderkey AS seq, 'host' || o_custkey % 40 AS host, 'tag' || (o_orderkey % 60) AS tag FROM orders),
 l AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS n FROM e), k AS (SELECT host, tag FROM l WHERE n = 1)
 SELECT host, tag, count(*) OVER (PARTITION BY tag) = 1 AS unique_tag FROM k""")
 def f26_export_table(spark: SparkSession, d: str) -> DataFrame:
     """Upsert by host path; a tag must belong to one host."""
-    return _export_table(t(spark, d, "orders").filter("o_orderkey < 3000"))
-
-
-def _export_table(orders: DataFrame) -> DataFrame:
-    e = orders.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("host"), (F.col("o_custkey") % 40).cast("string")).alias("host"), F.concat(F.lit("tag"), (F.col("o_orderkey") % 60).cast("string")).alias("tag"))
+    e = t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("host"), (F.col("o_custkey") % 40).cast("string")).alias("host"), F.concat(F.lit("tag"), (F.col("o_orderkey") % 60).cast("string")).alias("tag"))
     last = e.groupBy("host").agg(F.max_by("tag", "seq").alias("tag"))
     owners = last.groupBy("tag").agg(F.count("*").alias("n"))
     return last.join(owners, "tag").select("host", "tag", (F.col("n") == 1).alias("unique_tag"))
-
-
-@query("""WITH e AS (SELECT o_orderkey AS seq, 'host' || o_custkey % 40 AS host, 'tag' || (o_orderkey % 60) AS tag FROM orders),
-l AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS n FROM e), k AS (SELECT host, tag FROM l WHERE n = 1)
-SELECT host, tag, count(*) OVER (PARTITION BY tag) = 1 AS unique_tag FROM k""")
-def f26_export_table_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _export_table(t(spark, d, "orders"))

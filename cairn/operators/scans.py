@@ -154,30 +154,30 @@ def gather(blocks: DataFrame, extents: DataFrame, stored: DataFrame) -> DataFram
     return got.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.coalesce("data", F.lit("0")).alias("data")))), lambda x: x["data"]), "").alias("content"))
 
 
-@query(f"""WITH {fx.EXTENTS}, f AS (SELECT * FROM extents WHERE file <= 20),
+@query(f"""WITH {fx.EXTENTS}, f AS (SELECT * FROM extents),
 b AS (SELECT file, unnest(range(64, 64 + 32)) AS block FROM (SELECT DISTINCT file FROM f)),
 m AS (SELECT b.file, b.block, min(physical + (block - logical)) AS pblock FROM b LEFT JOIN f ON f.file = b.file AND block >= logical AND block < logical + length GROUP BY 1, 2)
 SELECT file, string_agg(coalesce((pblock % 7 + 1)::VARCHAR, '0'), '' ORDER BY block) AS content FROM m GROUP BY file""")
 def s18_file_read(spark: SparkSession, d: str) -> DataFrame:
-    f = fx.extents(spark, d).filter("file <= 20")
+    f = fx.extents(spark, d)
     blocks = f.select("file").distinct().select("file", F.explode(F.sequence(F.lit(64).cast("long"), F.lit(95).cast("long"))).alias("block"))
     pb = f.select(F.explode(F.sequence(F.col("physical"), F.col("physical") + F.col("length") - 1)).alias("pblock")).distinct()
     return gather(blocks, f, pb.select("pblock", (F.col("pblock") % 7 + 1).cast("string").alias("data")))
 
 
-@query(f"""WITH {fx.FILES} SELECT path, size, substr(text, 1, 40) AS head FROM files WHERE path IN (SELECT path FROM files WHERE doc_id IN (3, 5, 8)) AND doc_id % 2 = 1""")
+@query(f"""WITH {fx.FILES} SELECT path, size, sha256(text) AS content FROM files WHERE path IN (SELECT path FROM files WHERE doc_id IN (3, 5, 8)) AND doc_id % 2 = 1""")
 def s19_live_file_read(spark: SparkSession, d: str) -> DataFrame:
     """Resolve paths, then read; inodes that are compressed (even ids here) are refused."""
     f = fx.files(spark, d)
     wanted = f.filter(F.col("doc_id").isin(3, 5, 8)).select("path")
-    return f.join(wanted, "path", "left_semi").filter("doc_id % 2 = 1").select("path", "size", F.substring("text", 1, 40).alias("head"))
+    return f.join(wanted, "path", "left_semi").filter("doc_id % 2 = 1").select("path", "size", F.sha2("text", 256).alias("content"))
 
 
-@query("""SELECT o_orderkey AS block, CASE WHEN o_orderkey % 4 = 0 THEN 'cached:' || o_orderstatus ELSE 'disk:' || o_orderpriority END AS data FROM orders WHERE o_orderkey >= 10 AND o_orderkey < 60""")
+@query("""SELECT o_orderkey AS block, CASE WHEN o_orderkey % 4 = 0 THEN 'cached:' || o_orderstatus ELSE 'disk:' || o_orderpriority END AS data FROM orders""")
 def s20_cached_read(spark: SparkSession, d: str) -> DataFrame:
     """Cached pages lie over committed bytes."""
-    disk = t(spark, d, "orders").filter("o_orderkey >= 10 and o_orderkey < 60").select(F.col("o_orderkey").alias("block"), F.concat(F.lit("disk:"), "o_orderpriority").alias("committed"))
-    pages = t(spark, d, "orders").filter("o_orderkey >= 10 and o_orderkey < 60 and o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("block"), F.concat(F.lit("cached:"), "o_orderstatus").alias("page"))
+    disk = t(spark, d, "orders").select(F.col("o_orderkey").alias("block"), F.concat(F.lit("disk:"), "o_orderpriority").alias("committed"))
+    pages = t(spark, d, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("block"), F.concat(F.lit("cached:"), "o_orderstatus").alias("page"))
     return disk.join(pages, "block", "left").select("block", F.coalesce("page", "committed").alias("data"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.plans.registry import query
+from cairn.shared import stash, workspace
 from cairn.sources import fixtures as fx
 from cairn.sources.fixtures import t
 
@@ -90,25 +91,15 @@ def as_of(left: DataFrame, right: DataFrame, *, on: str | None, left_time: str,
     return rows.withColumn("asof", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").drop("_t", "_side", "_v")
 
 
-@query(f"""WITH {fx.SNAPSHOTS}, p AS (SELECT l_orderkey % 32 AS r, l_orderkey * 10 + l_linenumber AS pid, epoch(date_trunc('second', l_shipdate))::BIGINT AS ts FROM lineitem WHERE l_orderkey < 200),
-q AS (SELECT DISTINCT r, pid, ts FROM p), s AS (SELECT id % 32 AS r, id, "at" FROM snapshots),
-j AS (SELECT q.r, q.pid, q.ts, s.id, row_number() OVER (PARTITION BY q.r, q.pid, q.ts ORDER BY s."at" DESC NULLS LAST, s.id) AS n FROM q LEFT JOIN s ON q.r = s.r AND s."at" <= q.ts)
-SELECT r, pid, ts, id AS snapshot FROM j WHERE n = 1""")
+@query(f"""WITH {fx.SNAPSHOTS}, q AS (SELECT DISTINCT l_orderkey % 32 AS r, l_orderkey * 10 + l_linenumber AS pid, epoch(date_trunc('second', l_shipdate))::BIGINT AS ts FROM lineitem),
+s AS (SELECT id % 32 AS r, "at", min(id) AS id FROM snapshots GROUP BY 1, 2)
+SELECT q.r, pid, ts, s.id AS snapshot FROM q ASOF LEFT JOIN s ON q.r = s.r AND q.ts >= s."at" """)
 def j3_snapshot_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshot_as_of(t(spark, d, "lineitem").filter("l_orderkey < 200"), fx.snapshots(spark, d))
-
-
-def _snapshot_as_of(lines: DataFrame, snapshots: DataFrame) -> DataFrame:
-    p = lines.select((F.col("l_orderkey") % 32).alias("r"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), fx.epoch_s("l_shipdate").alias("ts")).distinct()
-    s = snapshots.withColumn("r", F.col("id") % 32)
+    p = t(spark, d, "lineitem").select((F.col("l_orderkey") % 32).alias("r"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), fx.epoch_s("l_shipdate").alias("ts")).distinct()
+    s = fx.snapshots(spark, d).withColumn("r", F.col("id") % 32)
     return as_of(p, s, on="r", left_time="ts", right_time="at", tie="id", value="id").withColumnRenamed("asof", "snapshot")
 
 
-@query()
-def j3_snapshot_as_of_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshot_as_of(t(spark, d, "lineitem"), fx.snapshots(spark, d))
-
-
 @query(f"""WITH {fx.VERSIONS}, l AS (SELECT path, arg_max(content, pos) FILTER (ts <= {_CUTS[0]}) AS root, arg_min(content, pos) AS first FROM versions GROUP BY path)
 SELECT path, coalesce(root, first) AS root, CASE WHEN root IS NULL THEN 'before_first' ELSE 'found' END AS status FROM l""")
 def j4_root_as_of(spark: SparkSession, d: str) -> DataFrame:
@@ -168,21 +159,25 @@ def t9_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merkle_diff(a: DataFrame, b: DataFrame, root: int, depth: int) -> DataFrame:
-    """Level-wise diff of two trees (parent, name, child, hash): equal hashes are pruned; added and removed subtrees are one row."""
+    """Level-wise diff of two trees (parent, name, child, hash): equal hashes are pruned; added and removed subtrees are one row.
+
+    Every level reads both trees and the level before, which are tables in the shared folder until the diff is done.
+    """
     spark = a.sparkSession
-    a, b = a.persist(), b.persist()  # every level reads both; lost blocks are computed again
-    level = spark.createDataFrame([("", root, root)], "path string, x long, y long")
-    out = None
-    for _ in range(depth):
-        left = level.join(a.select(F.col("parent").alias("x"), "name", F.col("child").alias("x2"), F.col("hash").alias("hx")), "x").select("path", "name", "x2", "hx")
-        right = level.join(b.select(F.col("parent").alias("y"), "name", F.col("child").alias("y2"), F.col("hash").alias("hy")), "y").select("path", "name", "y2", "hy")
-        both = left.join(right, ["path", "name"], "full_outer").filter(~F.col("hx").eqNullSafe(F.col("hy")))
-        both = both.select(F.concat("path", F.lit("/"), "name").alias("path"), F.col("x2").alias("x"), F.col("y2").alias("y")).persist()  # the next level starts from it
-        rows = both.select("path", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").otherwise("modified").alias("change"), "x")
-        out = rows if out is None else out.unionByName(rows)
-        level = both.filter("x is not null and y is not null")
-    inner = a.select(F.col("parent").alias("x"), F.lit(True).alias("_dir")).distinct()  # directories show through their children
-    return out.join(inner, "x", "left").filter("change <> 'modified' or _dir is null").select("path", "change")
+    with workspace(spark):
+        a, b = stash(a, "tree"), stash(b, "tree")
+        level = spark.createDataFrame([("", root, root)], "path string, x long, y long")
+        out = None
+        for _ in range(depth):
+            left = level.join(a.select(F.col("parent").alias("x"), "name", F.col("child").alias("x2"), F.col("hash").alias("hx")), "x").select("path", "name", "x2", "hx")
+            right = level.join(b.select(F.col("parent").alias("y"), "name", F.col("child").alias("y2"), F.col("hash").alias("hy")), "y").select("path", "name", "y2", "hy")
+            both = left.join(right, ["path", "name"], "full_outer").filter(~F.col("hx").eqNullSafe(F.col("hy")))
+            both = stash(both.select(F.concat("path", F.lit("/"), "name").alias("path"), F.col("x2").alias("x"), F.col("y2").alias("y")), "tree-level")
+            rows = both.select("path", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").otherwise("modified").alias("change"), "x")
+            out = rows if out is None else out.unionByName(rows)
+            level = both.filter("x is not null and y is not null")
+        inner = a.select(F.col("parent").alias("x"), F.lit(True).alias("_dir")).distinct()  # directories show through their children
+        return stash(out.join(inner, "x", "left").filter("change <> 'modified' or _dir is null").select("path", "change"), "tree-diff", keep=True)
 
 
 def _hashed(e: DataFrame, odd: str) -> DataFrame:
@@ -200,37 +195,31 @@ def j13_merkle_diff(spark: SparkSession, d: str) -> DataFrame:
     return merkle_diff(_hashed(e, "'0'"), _hashed(e.filter("child < 1000 or child % 40 <> 1"), "case when child % 40 = 2 then '1' else '0' end"), 0, 3)
 
 
-@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS c, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders WHERE o_custkey < 40),
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """nodes (node, parent; null at a root), one parent each -> node, ancestors, oldest, of those that have a parent.
+
+    Pointer doubling: every node holds how far it has looked and from where to look on, so each round doubles the reach,
+    and the table keeps one row a node: joins grow with the logarithm of the depth, rows not at all.
+    """
+    with workspace(nodes.sparkSession):
+        held = stash(nodes.select("node", F.col("parent").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("n")), "ancestry")
+        while True:
+            step = held.filter("at is not null").select(F.col("node").alias("_node"), F.col("at").alias("_at"), F.col("n").alias("_n"))
+            new = held.join(step, F.col("at") == F.col("_node"), "left").select("node", F.coalesce("_at", "at").alias("at"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_at").isNotNull().alias("moved"))
+            new = stash(new, "ancestry")
+            if not new.filter("moved").limit(1).count():
+                return stash(new.filter("at is not null").select("node", F.col("n").alias("ancestors"), F.col("at").alias("oldest")), "ancestry", keep=True)
+            held = new.drop("moved")
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS c, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders),
 r AS (SELECT c AS start, parent AS anc FROM p WHERE parent IS NOT NULL UNION ALL SELECT r.start, p.parent FROM r JOIN p ON r.anc = p.c WHERE p.parent IS NOT NULL)
 SELECT start, count(DISTINCT anc)::BIGINT AS ancestors, min(anc) AS oldest FROM r GROUP BY start""")
 def j14_ancestry(spark: SparkSession, d: str) -> DataFrame:
-    """Reachability over parents by path doubling: known ancestors are joined with themselves until nothing is new, so the joins grow with the logarithm of the depth."""
-    return _ancestry(t(spark, d, "orders").filter("o_custkey < 40"))
-
-
-def _ancestry(orders: DataFrame) -> DataFrame:
-    """Each round is counted and written to the shared folder, so a round costs one join."""
+    """The version chain of every customer's orders: how many versions lie before each one, and the first."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    p = orders.select(F.col("o_orderkey").alias("start"), F.lag("o_orderkey").over(w).alias("anc")).filter("anc is not null")
-    reach, n = _kept(p), -1
-    while (m := reach.count()) != n:
-        n = m
-        step = reach.select(F.col("start").alias("anc"), F.col("anc").alias("next"))
-        reach = _kept(reach.unionByName(reach.join(step, "anc").select("start", F.col("next").alias("anc"))).distinct())
-    return reach.groupBy("start").agg(F.count_distinct("anc").alias("ancestors"), F.min("anc").alias("oldest"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    from cairn.sources import archives
-
-    path = archives._scratch(df.sparkSession, "reach")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@query()
-def j14_ancestry_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _ancestry(t(spark, d, "orders"))
+    chain = t(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"))
+    return ancestry(chain).withColumnRenamed("node", "start")
 
 
 def compare_clocks(a: str, b: str) -> Column:
@@ -271,13 +260,13 @@ def j15_merge_heads(spark: SparkSession, d: str) -> DataFrame:
     return _clocks(spark, d).select("k", F.when(rel.isin("before", "equal"), "theirs").when(rel == "after", "ours").otherwise("merge").alias("winner"), merged.alias("merged_a"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS pos, p_type AS h FROM part WHERE p_partkey <= 60), o AS (SELECT p_partkey AS pos, p_type AS h FROM part WHERE p_partkey BETWEEN 30 AND 100), th AS (SELECT p_partkey AS pos, p_type AS h FROM part WHERE p_partkey BETWEEN 50 AND 140),
+@query("""WITH p AS (SELECT p_partkey AS pos, p_name || '/' || p_brand AS h, p_size FROM part), a AS (SELECT * FROM p WHERE p_size <= 30), o AS (SELECT * FROM p WHERE p_size BETWEEN 11 AND 40), th AS (SELECT * FROM p WHERE p_size > 20),
 g AS (SELECT 0 AS grp, pos, h FROM o WHERE h NOT IN (SELECT h FROM a) UNION ALL SELECT 1, pos, h FROM th WHERE h NOT IN (SELECT h FROM a) AND h NOT IN (SELECT h FROM o)
  UNION ALL SELECT 2, pos, h FROM a WHERE h IN (SELECT h FROM o) OR h IN (SELECT h FROM th)) SELECT grp::BIGINT AS grp, pos, h FROM g""")
 def j16_three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     """Chunks new in ours, then new in theirs only, then those of the ancestor that either side kept."""
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_type").alias("h"))
-    a, ours, theirs = p.filter("pos <= 60"), p.filter("pos between 30 and 100"), p.filter("pos between 50 and 140")
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.concat_ws("/", "p_name", "p_brand").alias("h"), "p_size")
+    a, ours, theirs = p.filter("p_size <= 30"), p.filter("p_size between 11 and 40"), p.filter("p_size > 20")
     h = lambda x: x.select("h").distinct()
     parts = [ours.join(h(a), "h", "left_anti"), theirs.join(h(a), "h", "left_anti").join(h(ours), "h", "left_anti"), a.join(h(ours.unionByName(theirs)), "h", "left_semi")]
     out = None

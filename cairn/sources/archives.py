@@ -6,39 +6,53 @@ import hashlib
 import hmac
 import io
 import tarfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.chunking import chunks, fastcdc
-from cairn.functions.erasure import encode, padded, reconstruct
+from cairn.functions.erasure import by_stripe, coded, generator, restored
+from cairn.operators.ordered import fold_in_order
 from cairn.operators.timeline import verify_manifest
 from cairn.plans.registry import query
+from cairn.shared import scratch
 from cairn.sources import fixtures as fx
 from cairn.sources.fixtures import t
 
 BLOCK = 512
+#: Bytes of text after which an archive is closed.
+ARCHIVE = 4 << 20
+
+
+def number(field: bytes) -> int | None:
+    """A number of a tar header: octal digits, or base 256 if its first bit is set; None if it is neither."""
+    if field[:1] >= b"\x80":
+        return int.from_bytes(bytes([field[0] & 127]) + field[1:], "big")
+    digits = field.strip(b"\0 ")
+    return int(digits or b"0", 8) if all(48 <= c < 56 for c in digits) else None
 
 
 def parse_tar(data: bytes) -> Iterator[tuple[str, str, int, str, str]]:
-    """(path, kind, size, digest, target) of ustar members. A header whose checksum is wrong ends the archive with an error
-    row; GNU long names are honoured; hard links, devices and extended headers are reported as skipped."""
+    """(path, kind, size, digest, target) of ustar members. A header whose checksum or numbers are wrong, or a member that ends
+    beyond the archive, ends it with an error row; GNU long names are honoured; hard links, devices and extended headers are reported as skipped."""
     at, long_name = 0, None
     while at + BLOCK <= len(data):
         h = data[at : at + BLOCK]
         if not h.strip(b"\0"):
             return
-        stored = int(h[148:156].strip(b"\0 ") or b"0", 8)
-        if sum(h[:148]) + 256 + sum(h[156:]) != stored:
+        if number(h[148:156]) != sum(h[:148]) + 256 + sum(h[156:]) or number(h[124:136]) is None:
             yield "", "bad_header", at, "", ""
             return
         text = lambda a, b: h[a:b].split(b"\0")[0].decode("utf-8", "replace")
-        size, kind = int(h[124:136].strip(b"\0 ") or b"0", 8), h[156:157]
+        size, kind = number(h[124:136]), h[156:157]
+        if at + BLOCK + size > len(data):
+            yield text(0, 100), "truncated", at, "", ""
+            return
         body = data[at + BLOCK : at + BLOCK + size]
         at += BLOCK + -(-size // BLOCK) * BLOCK
         if kind == b"L":
@@ -69,7 +83,7 @@ def import_tars(archives: DataFrame, data_col: str) -> DataFrame:
     return archives.select(data_col).mapInArrow(run, "path string, kind string, size long, digest string, target string")
 
 
-def _tar_of(names: pd.Series, texts: pd.Series) -> bytes:
+def _tar_of(names: tuple[str, ...], texts: tuple[str, ...]) -> bytes:
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w", format=tarfile.GNU_FORMAT) as tar:
         for name, text in zip(names, texts, strict=True):
@@ -81,10 +95,22 @@ def _tar_of(names: pd.Series, texts: pd.Series) -> bytes:
 
 @query(f"WITH {fx.FILES} SELECT substr(path, 2) AS path, 'file' AS kind, size, digest FROM files")
 def s12_tar_import(spark: SparkSession, d: str) -> DataFrame:
-    """Files are packed into archives by language and source, and read back."""
-    f = fx.files(spark, d).select(F.concat_ws("/", F.split("path", "/")[1], F.split("path", "/")[2]).alias("g"), F.expr("substr(path, 2)").alias("path"), "text")
-    tars = f.groupBy("g").applyInPandas(lambda p: pd.DataFrame({"data": [_tar_of(p["path"], p["text"])]}), "data binary")
-    return import_tars(tars, "data").select("path", "kind", "size", "digest")
+    """Files are packed into archives of bounded size, and read back."""
+    f = fx.files(spark, d).select(F.expr("substr(path, 2)").alias("path"), "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(row)
+                size += len(row[1])
+                if size >= ARCHIVE:
+                    yield pa.RecordBatch.from_pydict({"data": [_tar_of(*zip(*held, strict=True))]})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"data": [_tar_of(*zip(*held, strict=True))]})
+
+    return import_tars(f.mapInArrow(pack, "data binary"), "data").select("path", "kind", "size", "digest")
 
 
 MAGIC = b"ECF1"
@@ -106,48 +132,68 @@ def read_fragment(raw: bytes) -> tuple[int, int, int, bytes] | None:
 def s14_ec_fragments(spark: SparkSession, d: str) -> DataFrame:
     """Stripes of four names as fragments; one of each is damaged: how many read well, and whether the stripe is whole again."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        s = padded([x.encode() for x in p.sort_values("p_partkey")["p_name"]])
-        g, k = int(p["g"].iloc[0]), len(s)
-        raw = [write_fragment(i, k, 2, x.tobytes()) for i, x in enumerate(encode(s, 2))]
-        bad = g % len(raw)
-        raw[bad] = raw[bad][:-1] + bytes([raw[bad][-1] ^ 1])
-        good = {f[0]: f[3] for f in map(read_fragment, raw) if f}
-        back = reconstruct({i: padded([x])[0] for i, x in good.items()}, k, 2)
-        return pd.DataFrame([(g, len(good), bool((back[:k] == s).all()))], columns=["g", "good", "restored"])
+    def code(g: np.ndarray, s: np.ndarray, lens: np.ndarray) -> list[tuple]:
+        k, n = len(s), len(s) + 2
+        full = coded(generator(k, 2), s)
+        got, lost = np.zeros_like(full), []
+        for j, i in enumerate(g.tolist()):
+            missing = set(range(n))
+            for c in range(n):
+                raw = write_fragment(c, k, 2, full[c, j, : lens[j]].tobytes())
+                raw = raw[:-1] + bytes([raw[-1] ^ 1]) if c == i % n else raw
+                if f := read_fragment(raw):
+                    got[f[0], j, : lens[j]] = np.frombuffer(f[3], np.uint8)
+                    missing.discard(f[0])
+            lost.append(missing)
+        same = (restored(got, k, 2, lost)[:k] == s).all(axis=(0, 2))
+        return [(i, n - len(x), bool(ok)) for i, x, ok in zip(g.tolist(), lost, same, strict=True)]
 
     rows = t(spark, d, "part").select(F.expr("p_partkey div 4").alias("g"), "p_partkey", "p_name")
-    return rows.groupBy("g").applyInPandas(run, "g long, good long, restored boolean")
+    return by_stripe(rows, "p_partkey", "p_name", code, "g long, good long, restored boolean")
+
+
+#: Manifest rows of a footer line, on average.
+MARKED = 100_000
+
+
+def marks(manifest: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, sha): for each bucket of paths the number of entries, and the SHA-256 of its entries in path order, chained row by row."""
+    line = F.concat_ws("\t", "path", F.col("size").cast("string"), "digest")
+    rows = manifest.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"), "path", line.alias("line"))
+    chain = lambda s, _, line: (s[0] + 1, hashlib.sha256(f"{s[1]}{line}".encode()).hexdigest())
+    return fold_in_order(rows, ["bucket"], ["path"], ["line"], (0, ""), chain, "n long, sha string")
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """The manifest, then its footer; a stream without a footer is not whole."""
+    entries.select("path", "size", "digest").write.parquet(f"{path}/manifest")
+    written = entries.sparkSession.read.parquet(f"{path}/manifest")
+    marks(written, -(-written.count() // MARKED) or 1).write.parquet(f"{path}/footer")
 
 
 def send_snapshot(files: DataFrame, path: str) -> DataFrame:
-    """Write contents and manifest of a snapshot below `path`. The footer covers the digests in path order, hashed by range so that no task sees all."""
+    """Write contents, manifest and footer of a snapshot below `path`. The footer covers the manifest by buckets of paths, so that no task sees all."""
     files.select("path", "text").write.parquet(f"{path}/data")
-    files.select("path", "size", "digest").write.parquet(f"{path}/manifest")
-    spark = files.sparkSession
-    return spark.read.parquet(f"{path}/manifest")
+    write_manifest(files, path)
+    return files.sparkSession.read.parquet(f"{path}/manifest")
 
 
 def receive_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Read a snapshot back and verify every path against its manifest."""
+    """Read a snapshot back and verify every path against its manifest. A manifest that differs from its footer is refused."""
+    footer = spark.read.parquet(f"{path}/footer")
+    total = footer.agg(F.sum("n")).first()
+    manifest = spark.read.parquet(f"{path}/manifest")
+    found = marks(manifest, -(-(total[0] or 0) // MARKED) or 1)
+    if found.exceptAll(footer).unionByName(footer.exceptAll(found)).limit(1).count():
+        raise ValueError("the snapshot's manifest does not match its footer")
     got = spark.read.parquet(f"{path}/data").select("path", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
-    return verify_manifest(spark.read.parquet(f"{path}/manifest"), got)
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+    return verify_manifest(manifest, got)
 
 
 @query("SELECT '/' || lang || '/' || source || '/' || doc_id AS path, 'ok' AS status FROM documents")
 def s15_snapshot_send_receive(spark: SparkSession, d: str) -> DataFrame:
     """S15 and S16: a snapshot written, read again and verified."""
-    path = _scratch(spark, "snapshot")
+    path = scratch(spark, "snapshot")
     send_snapshot(fx.files(spark, d), path)
     return receive_snapshot(spark, path)
 
@@ -164,7 +210,7 @@ def put_objects(objects: DataFrame, id_col: str, text_col: str, path: str) -> tu
 @query("SELECT doc_id AS id, octet_length(encode(text))::BIGINT AS size FROM documents WHERE text <> ''")
 def s24_chunked_put(spark: SparkSession, d: str) -> DataFrame:
     """S22 to S24: objects appended as chunk rows; sizes add up to what was put."""
-    versions, _ = put_objects(t(spark, d, "documents"), "doc_id", "text", _scratch(spark, "put"))
+    versions, _ = put_objects(t(spark, d, "documents"), "doc_id", "text", scratch(spark, "put"))
     return versions.select("id", "size")
 
 

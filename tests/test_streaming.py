@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from cairn.sources.archives import _scratch
+from cairn.shared import scratch
 from cairn.streaming import stateful as st
 
 ROWS = [(i, i * 40_000, i % 3, "write", i * 37 % 900, i * 7919 % 50_000, i % 5) for i in range(120)]
@@ -30,8 +30,19 @@ def plain(start, step):
 @pytest.mark.parametrize("name", CASES)
 def test_restart(spark, name):
     (start, step), output, state = CASES[name]
-    src, sink, offsets = (_scratch(spark, x) for x in ("src", "sink", "offsets"))
+    src, sink, offsets = (scratch(spark, x) for x in ("src", "sink", "offsets"))
     for part in (ROWS[:50], ROWS[50:80], ROWS[80:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
         got = st.drain(st.stateful(st.io_stream(spark, src), "ns", output, state, start, step), spark, offsets, sink)
     assert sorted(map(tuple, got.collect())) == plain(start, step)
+
+
+def test_rows_behind_the_watermark_are_dropped(spark):
+    src, sink, offsets = (scratch(spark, x) for x in ("src", "sink", "offsets"))
+    day = 86400
+    batches = [[(1, 20 * day)], [(2, 19 * day), (3, 20 * day)], [(4, 3 * day), (5, 19 * day + 5), (6, 21 * day)], [(7, 20 * day + 9), (8, 2 * day)]]
+    for rows in batches:  # the watermark is two days behind the newest row of the batches before
+        data = [(i, t, 0, "write", 1, 1, 1) for i, t in rows]
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        got = st.daily_counts(st.io_stream(spark, src), "2 days", spark, offsets, sink)
+    assert {r.start // day: r.ops for r in got.collect()} == {19: 2, 20: 3, 21: 1}

@@ -30,22 +30,22 @@ def slow_entropy(data):
 
 
 def test_entropy_of_every_text(spark):
-    got = {r.doc_id: r.entropy for r in whole(spark, "a5_byte_entropy_whole")}
+    got = {r.doc_id: r.entropy for r in whole(spark, "a5_byte_entropy")}
     assert got == {i: slow_entropy(x) for i, x in texts().items() if x}
     assert len(got) > 60
 
 
 def test_chunks_of_every_text(spark):
-    (row,) = whole(spark, "e9_table_function_addition_whole")
+    (row,) = whole(spark, "e9_table_function_addition")
     cut = [slow_fastcdc(x, 2048, 8192, 32768) for x in texts().values() if x]
     assert (row.chunks, row.bytes) == (sum(map(len, cut)), sum(map(sum, cut)))
     assert row.chunks > len(cut)  # some text is long enough to be cut
 
 
 def test_every_object_and_event(spark):
-    assert {r.doc_id for r in whole(spark, "x21_aes_round_trip_whole")} == set(texts())
+    assert {r.doc_id for r in whole(spark, "x21_aes_round_trip")} == set(texts())
     events = pd.read_parquet(f"{SF}/events.parquet", columns=["event_id"])
-    assert {r.event_id for r in whole(spark, "x23_builtins_addition_whole")} == set(events["event_id"])
+    assert {r.event_id for r in whole(spark, "x23_builtins_addition")} == set(events["event_id"])
 
 
 def test_every_line_is_placed(spark):
@@ -61,7 +61,7 @@ def test_ancestors_of_every_order(spark):
     for _, g in orders.groupby("o_custkey"):
         keys = sorted(map(int, g["o_orderkey"]))
         want |= {k: (i, keys[0]) for i, k in enumerate(keys) if i}
-    assert {r.start: (r.ancestors, r.oldest) for r in whole(spark, "j14_ancestry_whole")} == want
+    assert {r.start: (r.ancestors, r.oldest) for r in whole(spark, "j14_ancestry")} == want
 
 
 def test_snapshot_of_every_line(spark):
@@ -80,5 +80,5 @@ def test_snapshot_of_every_line(spark):
         r, ts = int(k) % 32, int(at.timestamp())
         i = bisect_right(times.get(r, []), ts)
         want.add((r, int(k) * 10 + int(n), ts, least[r][times[r][i - 1]] if i else None))
-    got = whole(spark, "j3_snapshot_as_of_whole")
+    got = whole(spark, "j3_snapshot_as_of")
     assert {(r.r, r.pid, r.ts, r.snapshot) for r in got} == want and len(got) == len(want)
