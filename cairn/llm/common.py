@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.shared import arrow_batches, delete, drop_stash, scratch, stash, workspace  # noqa: F401  the operators take them from here
+
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,35 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is configured, one is made (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+def operator(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator's result (ids and numbers, no texts) becomes a table in the shared folder; what it wrote on the way is deleted."""
 
+    @wraps(f)
+    def run(rows: DataFrame, *args, **kw) -> DataFrame:
+        with workspace(rows.sparkSession), arrow_batches(rows.sparkSession):
+            return stash(f(rows, *args, **kw), f.__name__, keep=True)
 
-def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
-    return out
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete what `stash` wrote; the frame must not be read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return run
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
@@ -53,6 +35,11 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+def text_key(text: Column) -> Column:
+    """With the id, what tells rows apart; rows equal in both are copies."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -62,11 +49,25 @@ def crc_mod3(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def without(docs: DataFrame, every: DataFrame, gone: DataFrame, id_col: str, th: Column) -> DataFrame:
+    """The rows of docs but those whose id and text key are in gone (id, th); of rows that repeat both, one. every: all of docs' (id, th)."""
+    marked = docs.withColumns({"_cairn_i": F.col(id_col).cast("long"), "_cairn_t": th})
+    on = F.col("_cairn_i").eqNullSafe(F.col("_cairn_id")) & F.col("_cairn_t").eqNullSafe(F.col("_cairn_th"))
+
+    def keys(df: DataFrame) -> DataFrame:
+        df = df.select(F.col("id").cast("long").alias("_cairn_id"), F.col("th").alias("_cairn_th"))
+        return maybe_broadcast(df, df.count())
+
+    rows = marked.join(keys(gone), on, "left_anti")
+    again = every.groupBy("id", "th").count().filter("count > 1")
+    if again.limit(1).count():
+        again = keys(again)
+        once = rows.join(again, on, "left_semi").dropDuplicates(["_cairn_i", "_cairn_t"])
+        rows = rows.join(again, on, "left_anti").unionByName(once)
+    return rows.select(docs.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
-    """Bound the Arrow batches between the JVM and Python by rows and bytes: whole texts are long and several buffers hold each."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        try:
-            spark.conf.set(key, str(value))
-        except Exception as e:  # noqa: BLE001  an older engine lacks the second setting
-            if "maxBytes" not in key:
-                raise e
+    """Bound the Arrow batches between the JVM and Python for the rest of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
