@@ -1,9 +1,11 @@
 """Exact dedup by a log-structured merge index over text digests.
 
-Memtables (bounded batches of rows) are sorted by digest, combined, and flushed as runs: Parquet files with
-min/max statistics and a Bloom filter on the digest. Compaction merges all runs: per digest the smallest
-key and the number of rows. Equal digests are hits, and every hit is verified byte by byte: inside a memtable
-against its neighbour, between runs by the least and the greatest text. A hot text shrinks to one entry a memtable.
+Memtables (bounded batches of rows) are sorted by digest and flushed as runs: one entry for each digest, with the
+smallest key and the number of rows. Compaction deals the entries by digest, merges the sorted runs and keeps the
+smallest keys; texts stay where they are. Digests that several runs hold are hits. A filter of bounded size over the
+hits decides, where the texts are read, which of them are sent on, and every hit is verified byte by byte: inside a
+memtable against its neighbour, between runs against the first text of the digest. A hot text shrinks to one entry a
+memtable.
 """
 
 from __future__ import annotations
@@ -16,101 +18,176 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import drop_stash, maybe_broadcast, small_batches, stash
+from cairn.llm.common import maybe_broadcast, operator, stash, without
 
 MEMTABLE_BYTES = 24 << 20
 LAST = (1 << 63) - 1
-RUN_SCHEMA = "digest string, text string, key long, n long, ties long"
+#: Bits of the filter for each hit, and at most; a full filter lets more texts through, never fewer.
+FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 26
+RUN = "digest string, key long, n long, clash boolean"
+INDEX = "digest string, key long, n long, runs long, clash boolean"
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def combine(table: pa.Table) -> pa.Table:
-    """Sort a memtable by digest, text and key; one entry for each distinct text: smallest key, rows, rows with that key."""
-    t = table.take(pc.sort_indices(table, [("digest", "ascending"), ("text", "ascending"), ("key", "ascending")]))
-    t = t.combine_chunks()
+def changed(c: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Where a sorted column differs from the row before."""
+    if not len(c):
+        return np.zeros(0, bool)
+    return np.concatenate(([True], pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)))
 
-    def changed(name: str) -> np.ndarray:
-        c = t[name]
-        return np.concatenate(([True], pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)))
 
-    new = changed("digest") | changed("text")  # the second comparison is the byte verification
-    at = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    keys = t["key"].to_numpy()
-    ties = np.bincount(of[keys == keys[at][of]], minlength=len(at))
-    return pa.table({"digest": t["digest"].take(at), "text": t["text"].take(at), "key": keys[at], "n": np.bincount(of), "ties": ties})
+def memtables(batches: Batches, limit: int) -> Iterator[pa.Table]:
+    """Bounded batches of rows, sorted by all their columns."""
+    held, size = [], 0
 
+    def full() -> pa.Table:
+        t = pa.Table.from_batches(held)
+        return t.take(pc.sort_indices(t, [(c, "ascending") for c in t.column_names])).combine_chunks()
 
-def _flush(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.nbytes
-            if size >= limit:
-                yield from combine(pa.Table.from_batches(held)).to_batches(max_chunksize=4096)
-                held, size = [], 0
-        if held:
-            yield from combine(pa.Table.from_batches(held)).to_batches(max_chunksize=4096)
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= limit:
+            yield full()
+            held, size = [], 0
+    if held:
+        yield full()
 
-    return run
 
+def run_of(t: pa.Table) -> pa.Table:
+    """The run of a memtable (digest, text, key): clash if the bytes of a digest's texts differ."""
+    new = changed(t["digest"])
+    at = np.flatnonzero(new)
+    key = np.minimum.reduceat(t["key"].to_numpy(), at) if len(at) else np.empty(0, np.int64)
+    other = changed(t["text"]) & ~new  # the byte verification
+    clash = np.maximum.reduceat(other, at) if len(at) else np.empty(0, bool)
+    return pa.table({"digest": t["digest"].take(at), "key": key, "n": np.diff(np.append(at, len(t))), "clash": clash})
+
+
+def compacted(batches: Batches) -> Batches:
+    """Merged runs, sorted by digest -> one entry for each digest."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t.append_column("runs", pa.array(np.ones(len(t), np.int64)))
+        t = pa.concat_tables([held, t.select(held.column_names)]).combine_chunks() if held else t
+        at = np.flatnonzero(changed(t["digest"]))
+        put = {"digest": t["digest"].take(at), "key": np.minimum.reduceat(t["key"].to_numpy(), at)}
+        put |= {c: np.add.reduceat(t[c].to_numpy(), at) for c in ("n", "runs")}
+        t = pa.table(put | {"clash": np.maximum.reduceat(t["clash"].to_numpy(), at)}).select(["digest", "key", "n", "runs", "clash"])
+        held = t.slice(len(t) - 1)
+        yield from t.slice(0, len(t) - 1).to_batches()
+    if held:
+        yield from held.to_batches()
+
+
+def index_of(rows: DataFrame, memtable_bytes: int) -> DataFrame:
+    """rows (digest, text, key) -> the compacted index."""
+
+    def flush(batches: Batches) -> Batches:
+        for t in memtables(batches, memtable_bytes):
+            yield from run_of(t).to_batches(max_chunksize=1 << 16)
+
+    runs = stash(rows.mapInArrow(flush, RUN), "dedup-runs")
+    return stash(runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(compacted, INDEX), "dedup-index")
+
+
+def hit_filter(hits: DataFrame) -> np.ndarray:
+    """A filter over the hits' digests, two bits each: words of 64 bits."""
+    bits = min(MAX_FILTER_BITS, max(64, 1 << (FILTER_BITS * hits.count()).bit_length()))
+    x = F.xxhash64("digest")
+    places = [F.pmod(x, F.lit(bits)), F.pmod(F.shiftrightunsigned(x, 32), F.lit(bits))]
+    put = hits.select(F.explode(F.array(*places)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    got = put.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MAX_FILTER_BITS / 64 rows
+    words = np.zeros(bits // 64, np.int64)
+    words[got["w"].to_numpy()] = got["b"].to_numpy()
+    return words.view(np.uint64)
+
+
+def may_hit(words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of these xxhash64 values the filter may hold."""
+    ok = np.ones(len(x), bool)
+    for p in (x.view(np.uint64) % np.uint64(64 * len(words)), (x.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * len(words))):
+        ok &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return ok
+
+
+def clashes(rows: DataFrame, index: DataFrame, memtable_bytes: int) -> DataFrame:
+    """The digests that different texts share: found in a memtable, or by comparing the hits' texts between runs."""
+    held = rows.sparkSession.sparkContext.broadcast(hit_filter(index.filter("runs > 1")))
+
+    def send(batches: Batches) -> Batches:
+        words = held.value
+
+        def passing() -> Batches:
+            for b in batches:
+                at = np.flatnonzero(may_hit(words, b.column(2).to_numpy()))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["digest", "text"])
+
+        for t in memtables(passing(), memtable_bytes):
+            yield from t.filter(pa.array(changed(t["digest"]) | changed(t["text"]))).to_batches(max_chunksize=500)
+
+    def compare(batches: Batches) -> Batches:
+        digest = text = None
+        for b in batches:
+            out = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if d != digest:
+                    digest, text = d, t
+                elif t != text:
+                    out.append(d)
+            if out:
+                yield pa.RecordBatch.from_pydict({"digest": sorted(set(out))})
 
-def build_index(docs: DataFrame, *, id_col: str, text: Column, digest: Callable[[Column], Column], keep: str, memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:
-    """The compacted index: digest, key, n, ties, t0 = t1 unless different texts share the digest."""
-    ident = F.col(id_col).cast("long")
-    # Bitwise not reverses the order of longs without overflow.
-    key = F.coalesce(ident if keep == "smallest" else F.bitwise_not(ident), F.lit(LAST))
-    small_batches(docs.sparkSession)
-    rows = docs.select(digest(text).alias("digest"), text.alias("text"), key.alias("key"))
-    runs = stash(rows.mapInArrow(_flush(memtable_bytes), RUN_SCHEMA), "dedup-runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"})
-    index = runs.groupBy("digest").agg(
-        F.min("key").alias("key"),
-        F.sum("n").alias("n"),
-        F.min("text").alias("t0"),
-        F.max("text").alias("t1"),
-    )
-    index = index.select("digest", "key", "n", (F.col("t0") != F.col("t1")).alias("clash"))
-    index = stash(index.sortWithinPartitions("digest"), "dedup-index", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"})
-    index.runs = runs
-    return index
+    texts = rows.select("digest", "text", F.xxhash64("digest").alias("x")).mapInArrow(send, "digest string, text string")
+    between = texts.repartition("digest").sortWithinPartitions("digest").mapInArrow(compare, "digest string")
+    return stash(between.unionByName(index.filter("clash").select("digest")).distinct(), "dedup-clashes")
 
 
+@operator
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", normalise: Callable[[Column], Column] = lambda c: c, digest: Callable[[Column], Column] = sha256_hex, memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     keep: "smallest" or "largest" id of each group of equal (normalised) texts. Null text counts as empty.
     Rows that repeat both id and text share their decision, so both are kept (`drop_duplicates` then keeps one);
     rows without an id are kept only if no row of their group has one. If different texts share a digest,
-    those digests are grouped by the text itself. An empty table gives an empty result; other columns are not read.
+    those digests are grouped by the text itself. The one id next to the end of the long range that stands for "no
+    id" (the largest, or the smallest if the largest is kept) is read as none. An empty table gives an empty result;
+    other columns are not read.
     """
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    index = build_index(docs, id_col=id_col, text=text, digest=digest, keep=keep, memtable_bytes=memtable_bytes)
-    clashing = index.filter("clash").limit(1).count() > 0
+    ident = F.col(id_col).cast("long")
+    # Bitwise not reverses the order of longs without overflow.
+    key = F.coalesce(ident if keep == "smallest" else F.bitwise_not(ident), F.lit(LAST))
+    rows = docs.select(digest(text).alias("digest"), text.alias("text"), key.alias("key"))
+    index = index_of(rows, memtable_bytes)
+    clash = clashes(rows, index, memtable_bytes)
+    clashing = clash.count()
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), digest(text).alias("digest"))
-    copies = index.filter("n > 1 and not clash").select("digest", "key", "n")
     # Groups of copies are counted: few go to every task, so that a hot text is not dealt by its digest; many are joined by it.
+    copies = index.filter("n > 1").select("digest", F.col("key").alias("least"), "n")
     copies = maybe_broadcast(copies, copies.count())
+    sha = F.col("digest") if digest is sha256_hex else F.sha2(F.col("text"), 256)
+    plain = (rows.join(clash, "digest", "left_anti") if clashing else rows).withColumn("sha", sha).select("id", "sha", "digest")
+    out = plain.join(copies, "digest", "left").select("id", "sha", "least", "n")
     if clashing:
-        split = index.runs.join(index.filter("clash").select("digest"), "digest", "left_semi")
-        split = split.groupBy("digest", "text").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
-        plain = rows.join(index.filter("clash").select("digest"), "digest", "left_anti").join(copies, "digest", "left")
-        other = rows.join(split, ["digest", "text"])
-        cols = ["id", "text", "digest", "key", "n"]
-        out = plain.select(*cols).unionByName(other.select(*cols))
-        sha = F.sha2(F.col("text"), 256)
-    else:
-        drop_stash(index.runs)
-        sha = F.col("digest") if digest is sha256_hex else F.sha2(F.col("text"), 256)
-        out = rows.join(copies, "digest", "left")
-    key = F.col("key")
-    kept_id = F.when(key.isNull(), F.col("id")).when(key == LAST, F.lit(None)).otherwise(key if keep == "smallest" else F.bitwise_not(key))
+        mixed = docs.select(F.col(id_col).alias("id"), text.alias("text"), digest(text).alias("digest"), key.alias("key")).join(clash, "digest", "left_semi")
+        mixed = stash(mixed.select("id", F.sha2("text", 256).alias("sha"), "text", "key"), "dedup-mixed")
+        split = mixed.groupBy("text").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(mixed.join(split, "text").select("id", "sha", "least", "n"))
+    least = F.col("least")
+    kept_id = F.when(least.isNull(), F.col("id")).when(least == LAST, F.lit(None)).otherwise(least if keep == "smallest" else F.bitwise_not(least))
     out = out.withColumn("keep_id", kept_id.cast("long"))
-    return out.select(F.col("id").alias(id_col), "keep_id", F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), "keep_id", F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", **kw) -> DataFrame:
@@ -118,14 +195,6 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     An id that stands before several texts is kept for each text that it represents.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep, **kw)
-    kept = groups.filter("kept").select(F.col(id_col).alias("_cairn_id"), F.col("text_sha256").alias("_cairn_sha")).distinct()
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep, **kw).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("th"), "kept")
     text = kw.get("normalise", lambda c: c)(F.coalesce(F.col(text_col), F.lit("")))
-    on = F.col(id_col).eqNullSafe(F.col("_cairn_id"))
-    # Only ids that occur twice can stand for repeated rows; they alone are compared row by row.
-    again = docs.groupBy(F.col(id_col).alias("_cairn_id")).count().filter("count > 1").select("_cairn_id")
-    if again.limit(1).count():
-        twice = docs.join(again, on, "left_semi").withColumn("_cairn_s", F.sha2(text, 256)).dropDuplicates([id_col, "_cairn_s"]).drop("_cairn_s")
-        docs = docs.join(again, on, "left_anti").unionByName(twice)
-    rows = docs.withColumn("_cairn_s", F.sha2(text, 256))
-    return rows.join(kept, on & (F.col("_cairn_s") == F.col("_cairn_sha")), "left_semi").drop("_cairn_s")
+    return without(docs, groups, groups.filter("not kept"), id_col, F.sha2(text, 256))

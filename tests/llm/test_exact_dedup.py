@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -38,10 +39,26 @@ def test_digest_clashes_are_resolved_by_the_bytes(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(data, "largest")
 
 
-def test_memtable_combines_sorted():
+def test_runs_and_their_merge():
     t = pa.table({"digest": ["b", "a", "b", "b"], "text": ["x", "y", "x", "z"], "key": [3, 9, 1, 2]})
-    out = ed.combine(t).to_pydict()
-    assert out == {"digest": ["a", "b", "b"], "text": ["y", "x", "z"], "key": [9, 1, 2], "n": [1, 2, 1], "ties": [1, 1, 1]}
+    (memtable,) = ed.memtables(iter(t.to_batches()), 1 << 20)
+    out = ed.run_of(memtable).to_pydict()
+    assert out == {"digest": ["a", "b"], "key": [9, 1], "n": [1, 3], "clash": [False, True]}
+    one = [{"digest": d, "key": k, "n": n, "clash": c} for d, k, n, c in [("a", 9, 1, False), ("b", 4, 2, False), ("b", 1, 3, True), ("c", 5, 1, False), ("c", 7, 1, False), ("c", 2, 1, False)]]
+    for size in (1, 2, 4, 6):
+        got = [r for b in ed.compacted(iter(pa.Table.from_pylist(one).to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert [tuple(r.values()) for r in got] == [("a", 9, 1, 1, False), ("b", 1, 5, 2, True), ("c", 2, 3, 3, False)]
+    assert list(ed.compacted(iter([]))) == []
+
+
+def test_filter_lets_every_hit_through(spark):
+    digests = [f"{i:064x}" for i in range(0, 3000, 3)]
+    hits = spark.createDataFrame([(d,) for d in digests], "digest string")
+    words = ed.hit_filter(hits)
+    x = spark.createDataFrame([(f"{i:064x}",) for i in range(3000)], "digest string").selectExpr("xxhash64(digest) AS x", "digest").collect()
+    ok = ed.may_hit(words, np.array([r.x for r in x], np.int64))
+    passed = {r.digest for r, y in zip(x, ok, strict=True) if y}
+    assert set(digests) <= passed and len(passed) < 1200
 
 
 def test_empty_table(spark):
