@@ -18,12 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.bit_filter import bit_filter, may_hold
 from cairn.llm.common import maybe_broadcast, operator, stash, without
 
 MEMTABLE_BYTES = 24 << 20
 LAST = (1 << 63) - 1
-#: Bits of the filter for each hit, and at most; a full filter lets more texts through, never fewer.
-FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 26
 RUN = "digest string, key long, n long, clash boolean"
 INDEX = "digest string, key long, n long, runs long, clash boolean"
 
@@ -101,23 +100,8 @@ def index_of(rows: DataFrame, memtable_bytes: int) -> DataFrame:
 
 
 def hit_filter(hits: DataFrame) -> np.ndarray:
-    """A filter over the hits' digests, two bits each: words of 64 bits."""
-    bits = min(MAX_FILTER_BITS, max(64, 1 << (FILTER_BITS * hits.count()).bit_length()))
-    x = F.xxhash64("digest")
-    places = [F.pmod(x, F.lit(bits)), F.pmod(F.shiftrightunsigned(x, 32), F.lit(bits))]
-    put = hits.select(F.explode(F.array(*places)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
-    got = put.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MAX_FILTER_BITS / 64 rows
-    words = np.zeros(bits // 64, np.int64)
-    words[got["w"].to_numpy()] = got["b"].to_numpy()
-    return words.view(np.uint64)
-
-
-def may_hit(words: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of these xxhash64 values the filter may hold."""
-    ok = np.ones(len(x), bool)
-    for p in (x.view(np.uint64) % np.uint64(64 * len(words)), (x.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * len(words))):
-        ok &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return ok
+    """A filter over the hits' digests."""
+    return bit_filter(hits.select(F.xxhash64("digest").alias("x")), hits.count())
 
 
 def clashes(rows: DataFrame, index: DataFrame, memtable_bytes: int) -> DataFrame:
@@ -129,7 +113,7 @@ def clashes(rows: DataFrame, index: DataFrame, memtable_bytes: int) -> DataFrame
 
         def passing() -> Batches:
             for b in batches:
-                at = np.flatnonzero(may_hit(words, b.column(2).to_numpy()))
+                at = np.flatnonzero(may_hold(words, b.column(2).to_numpy()))
                 if len(at):
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["digest", "text"])
 
