@@ -28,6 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Edges to a smaller neighbour that is already the minimum come from the other end.
         large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
         large = stash(large, "cc")
+        if _mark(large) == mark and large.select("a").distinct().count() == mark[0]:  # one smaller neighbour each, so stars
+            drop_stash(large)
+            break
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()

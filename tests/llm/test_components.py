@@ -9,3 +9,11 @@ def test_mark_of_many_edges(spark):
     mark = _mark(edges)
     assert mark[0] == 1 << 25
     assert mark != _mark(edges.withColumn("b", F.when(F.col("a") == 7, 1).otherwise(0).cast("long")))
+
+
+def test_forks_are_not_taken_for_stars(spark):
+    """Edges that the first step leaves as they are, though two roots meet in one node."""
+    from cairn.llm.components import connected_components
+
+    got = connected_components(spark.createDataFrame([(3, 1), (3, 2), (9, 8)], "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}

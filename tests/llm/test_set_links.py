@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as cp
 
+from cairn.llm import similar_sets
 from tests.llm.data import docs
 from tests.llm.test_simhash import brute_fingerprint, classes
 
@@ -36,3 +37,30 @@ def test_stage_takes_copies_at_four_fifths(spark):
     assert len(set(want)) < len(set(classes(len(data), bits))) - 10  # three bits miss many
     got = {r.doc_id for r in cp.near(spark, docs(spark, data), "").collect()}
     assert got == set(want)
+
+
+def test_links_in_long_lists(spark):
+    """Copies of one text with so many changes that some pairs are similar and most are not, and a passage that all texts share."""
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+    data = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = f"n{rng.randint(0, 10**6)}"
+        data.append((i, " ".join(words[: rng.randint(90, 120)]), "en", "s", 0))
+    passage = " ".join(f"p{i}" for i in range(60))
+    data += [(200 + i, f"{passage} " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(10, 200))), "en", "s", 0) for i in range(60)]
+    data += [(300, "one two", "en", "s", 0), (301, "one two", "en", "s", 0), (302, None, "en", "s", 0), (303, "ONE  two\n", "en", "s", 0)]
+    sets, fp = [shingles(r[1] or "") for r in data], [brute_fingerprint(r[1]) for r in data]
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    links = [(a, b) for a in range(len(data)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3 or near(a, b)]
+    want = {data[r][0] for r in classes(len(data), links)}
+    for worth in (0.5, 0.95):
+        similar_sets.WORTH = worth
+        assert {r.doc_id for r in cp.near(spark, docs(spark, data), "").collect()} == want
+    similar_sets.WORTH = 0.5
+    similar_sets.MAX_FILTER_BITS, most = 0, similar_sets.MAX_FILTER_BITS  # no filter: the same by a join
+    assert {r.doc_id for r in cp.near(spark, docs(spark, data), "").collect()} == want
+    similar_sets.MAX_FILTER_BITS = most
+    assert 1 < len(want) < len(data) - 20

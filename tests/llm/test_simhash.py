@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -63,7 +64,7 @@ def test_index_loses_no_link(spark, distance):
             fps.add(f ^ sum(1 << b for b in rng.sample(range(64), n)))
     fps = sorted(fps)
     signed = [int(np.array([f], np.uint64).view(np.int64)[0]) for f in fps]
-    got = simhash.links(simhash.postings(spark.createDataFrame([(s,) for s in signed], "fp long"), distance), distance).collect()
+    got = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), distance).collect()
     want = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance]
     at = {s: i for i, s in enumerate(signed)}
     pairs = [(at[r.a], at[r.b]) for r in got]
@@ -71,6 +72,45 @@ def test_index_loses_no_link(spark, distance):
     assert classes(len(fps), pairs) == classes(len(fps), want)
 
 
+def test_long_lists_are_dealt_again(spark, monkeypatch):
+    """Fingerprints that agree in five bytes, in lists longer than one task may hold."""
+    monkeypatch.setattr(simhash, "HELD", 500)
+    rng = random.Random(2)
+    low = list({rng.getrandbits(24) for _ in range(1500)} | {5 ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(24)})
+    fps = [0x7A7A7A7A7A000000 + x for x in low]
+    want = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    post = simhash.postings(df, [0xFF << 56])  # one list for all
+    first = simhash.links_of_lists(post, 3)
+    assert first.filter("mask <> 0").count() == len(fps)
+    at = {f: i for i, f in enumerate(fps)}
+    pairs = [(at[r.a], at[r.b]) for r in simhash.links(df, 3).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in pairs)
+    assert classes(len(fps), pairs) == classes(len(fps), want)
+
+
+def test_one_list_of_unlinked_fingerprints():
+    """40,000 fingerprints under one key: compared by further bits, not each with each."""
+    rng = np.random.default_rng(1)
+    fps = np.unique(rng.integers(0, 1 << 48, 40_000, dtype=np.uint64)) | np.uint64(77 << 48)
+    fps = np.concatenate((fps, fps[:50] ^ np.uint64(0b111)))
+    began = time.perf_counter()
+    found = simhash.list_links(fps, 0xFFFF << 48, 3)
+    assert time.perf_counter() - began < 5
+    pairs = {frozenset((int(x), int(y))) for a, b in found for x, y in zip(a, b, strict=True)}
+    assert {frozenset((int(f), int(f) ^ 7)) for f in fps[:50]} <= pairs
+    assert all((x ^ y).bit_count() <= 3 for x, y in map(tuple, pairs))
+
+
+def test_one_id_before_several_texts(spark):
+    """Only the copy goes, not another text under its id; of whole rows that repeat one stays."""
+    a = " ".join(f"w{i}" for i in range(200))
+    data = [(3, a, "en", "s", 0), (5, a + " more", "en", "s", 0), (5, "something wholly different stands here", "en", "s", 0), (5, "something wholly different stands here", "en", "s", 0)]
+    data += [(7, "twice the same id " * 20, "en", "s", 0), (7, "twice the same id " * 20 + "x", "en", "s", 0)]
+    kept = simhash.drop_near_duplicates(docs(spark, data), distance=8 - 1, width=3, similarity=(4, 5)).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in kept) == [(3, "w0 w1"), (5, "somet"), (7, "twice")]
+
+
 def test_empty_texts_and_missing_ids(spark):
     data = [(5, None, None, None, 0), (3, " ", None, None, 0), (None, "", None, None, 0), (None, "alone here now", None, None, 0)]
     got = sorted(map(tuple, simhash.near_groups(docs(spark, data)).collect()), key=repr)
