@@ -1,9 +1,10 @@
 """WARC archives and a globally ordered capture index by external merge.
 
-Writing: every task writes gzip members, one a record, into a file of its own in the shared folder. Reading back:
+Writing: every task writes gzip members, one a record, into files of its own, of bounded size, in the shared folder. Reading back:
 archives are parsed record by record, digests are verified, and captures are sorted in bounded batches into run
-files. Merging: runs undergo k-way loser-tree merging by URL key and timestamp. Key ranges are merged by separate
-tasks, each of which finds its part of a run by binary search; more runs than the fan-in are merged in passes.
+files, one task an archive. Merging: runs undergo k-way loser-tree merging by URL key and timestamp. Key ranges are
+merged by separate tasks, each of which finds its part of a run by binary search; more runs than the fan-in are first
+merged in passes, likewise by key range, so that no pass has fewer tasks than there are ranges.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch, small_batches, stash
+from cairn.llm.common import arrow_batches, scratch, stash, workspace
 
-FAN_IN, RUN_CAPTURES, RANGE_CAPTURES, SPLITTER_SAMPLE = 64, 50_000, 20_000, 4096
-READ = 1 << 16
+FAN_IN, RUN_CAPTURES, RANGE_CAPTURES = 64, 50_000, 20_000
+#: Key ranges at most (they grow instead), keys looked at for each range, tasks that read archives at most.
+MAX_RANGES, KEYS_A_RANGE, READERS = 20_000, 8, 20_000
+READ, ARCHIVE_BYTES = 1 << 16, 1 << 28
 CAPTURE = "urlkey string, timestamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
 
@@ -49,13 +52,20 @@ def _header(value: object) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def record(page_id: int | None, url: str | None, timestamp: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record. A revisit has no payload; its headers say which response holds it and how long it is."""
+def record_id(page_id: int | None, digest: str, *more: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, (page_id, digest, *more))))}>"
+
+
+def record(page_id: int | None, url: str | None, timestamp: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None, refers_date: str | None = None) -> bytes:
+    """One WARC 1.1 record. A revisit has no payload; its headers say which response holds it and how long it is.
+
+    The id of a response follows from its page and payload, so revisits can name it; rows that repeat share it.
+    """
     revisit = refers_to is not None
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{timestamp}/{url}')}>",
+        f"WARC-Record-ID: {record_id(page_id, digest, timestamp, url) if revisit else record_id(page_id, digest)}",
         f"WARC-Date: {timestamp}",
         f"WARC-Target-URI: {_header(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -64,7 +74,8 @@ def record(page_id: int | None, url: str | None, timestamp: str, payload: bytes,
         f"Content-Length: {0 if revisit else len(payload)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {_header(refers_url)}"]
+        lines += [f"WARC-Refers-To-Date: {refers_date}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + (b"" if revisit else payload) + b"\r\n\r\n"
 
 
@@ -100,28 +111,39 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str, url_col: str,
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.translate(timestamp.cast("string"), "\t\r\n", "   ").alias("ts"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("n", F.octet_length("payload").cast("long"))
     # Of equal payloads the largest id is the response. Only payloads seen twice are joined; a hot one is split by AQE.
-    first = rows.filter(F.col("n") >= min_revisit).groupBy("digest", "n").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    rows = rows.join(first, ["digest", "n"], "left").select("id", "url", "ts", "payload", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
-
-    small_batches(pages.sparkSession)
+    first = rows.filter((F.col("n") >= min_revisit) & F.col("id").isNotNull()).groupBy("digest", "n").agg(F.max(F.struct("id", "url", "ts")).alias("first"), F.count(F.lit(1)).alias("c"))
+    rows = rows.join(first.filter("c > 1").drop("c"), ["digest", "n"], "left")
+    rows = rows.select("id", "url", "ts", "payload", "digest", F.when(F.col("id") != F.col("first.id"), F.col("first")).alias("of")).select("id", "url", "ts", "payload", "digest", "of.id", "of.url", "of.ts")
+    rows = rows.toDF("id", "url", "ts", "payload", "digest", "refers_to", "refers_url", "refers_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
-        name, out, n = f"{uuid.uuid4().hex}.warc.gz", None, 0  # a retried task writes another file
+        name, out, n, size = "", None, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [n]})
+
         try:
             for b in batches:
                 for i in range(len(b)):
-                    out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
-                    page, url, ts, text, digest, ref = (c[i].as_py() for c in b.columns)
+                    if out is None:
+                        name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0  # a retried task writes other files
+                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    page, url, ts, text, digest, *of = (c[i].as_py() for c in b.columns)
                     z = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    out.write(z.compress(record(page, url, ts or "", text.encode(), digest, ref)) + z.flush())
-                    n += 1
+                    raw = z.compress(record(page, url, ts or "", text.encode(), digest, *of)) + z.flush()
+                    out.write(raw)
+                    n, size = n + 1, size + len(raw)
+                    if size >= ARCHIVE_BYTES:
+                        yield closed()
+                        out = None
+            if out is not None:
+                yield closed()
         finally:
-            if out:
+            if out is not None:
                 out.close()
-        if n:
-            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [n]})
 
     return stash(rows.mapInArrow(run, "file string, n long"), "warc-files")
 
@@ -165,12 +187,13 @@ def capture_runs(files: DataFrame, folder: str, run_captures: int = RUN_CAPTURES
             for offset, length, raw in records(stream):
                 head, payload = parse(raw)
                 digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"digest of the record at {offset} of {file} differs")
+                size = int(head["X-Payload-Length"])
+                if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
+                    raise ValueError(f"digest or length of the record at {offset} of {file} differs")
                 url = json.loads(head["WARC-Target-URI"])
                 refers = head.get("X-Refers-To-Page")
                 n += 1
-                yield {"urlkey": url_key(url), "timestamp": head["WARC-Date"], "page_id": json.loads(head["X-Page-Id"]), "url": url, "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "file": file, "offset": offset, "length": length}
+                yield {"urlkey": url_key(url), "timestamp": head["WARC-Date"], "page_id": json.loads(head["X-Page-Id"]), "url": url, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "file": file, "offset": offset, "length": length}
         if n != expected:
             raise ValueError(f"{file} has {n} records of {expected}")
 
@@ -193,7 +216,8 @@ def capture_runs(files: DataFrame, folder: str, run_captures: int = RUN_CAPTURES
         if held:
             yield flush()
 
-    spread = files.repartition(F.col("file"))
+    # A given number of tasks, as an engine that goes by bytes would put the few short rows into one.
+    spread = files.repartition(max(1, min(files.count(), READERS)))
     return stash(spread.mapInArrow(run, "run string, n long, sample array<binary>"), "warc-runs")
 
 
@@ -284,33 +308,60 @@ def _line_after(f, at: int, end: int) -> tuple[int, bytes | None]:
     return at + i + 1, data[i + 1 : data.find(b"\n", i + 1) + 1]
 
 
+def key_ranges(runs: DataFrame, range_captures: int) -> list[tuple[int, bytes | None, bytes | None]]:
+    """(number, lo, hi): ranges of about equal numbers of captures, at most MAX_RANGES, cut at sampled keys."""
+    total, keys = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("sample")), F.lit(0))).first()
+    parts = min(MAX_RANGES, max(1, -(-total // range_captures)))
+    share = min(1.0, KEYS_A_RANGE * parts / max(1, keys))
+    sampled = runs.select(F.explode("sample").alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    keys = sorted(bytes(r["k"]) for r in sampled.collect())  # about KEYS_A_RANGE * MAX_RANGES at most
+    cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+    return list(zip(range(len(cuts) + 1), [None, *cuts], [*cuts, None], strict=True))
+
+
+def ranged_work(segments: DataFrame, ranges: list[tuple], step: int) -> DataFrame:
+    """(g, range, lo, hi, runs): for each group and each `step` key ranges the run files that hold them; names only.
+
+    segments (g, first, step, run): a run file holds the key ranges from `first` on, `step` of them, an aligned power of two.
+    """
+    cut = [(i // step, ranges[i][1], ranges[min(i + step, len(ranges)) - 1][2]) for i in range(0, len(ranges), step)]
+    bounds = F.broadcast(segments.sparkSession.createDataFrame(cut, "range int, lo binary, hi binary"))  # at most MAX_RANGES rows
+    last = F.least(F.col("first") + F.col("step"), F.lit(len(ranges))) - 1
+    held = segments.select("g", "run", F.explode(F.sequence(F.expr(f"first div {step}").cast("int"), F.floor(last / step).cast("int"))).alias("range"))
+    return held.groupBy("g", "range").agg(F.sort_array(F.collect_list("run")).alias("runs")).join(bounds, "range").select("g", "range", "lo", "hi", "runs")
+
+
 def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_captures: int = RANGE_CAPTURES) -> DataFrame:
-    """All captures in global order of URL key, timestamp, page: partition i holds the i-th key range, merged."""
-    spark = runs.sparkSession
+    """All captures in global order of URL key, timestamp, page: the partitions hold the key ranges in order, merged.
+
+    A pass merges groups of `fan_in` runs, each group in as many key ranges as give tasks of about one range's size.
+    """
+    ranges = key_ranges(runs, range_captures)
     n_runs = runs.count()
-    while n_runs > fan_in:
-        groups = -(-n_runs // fan_in)
-        numbered = runs.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(2 * groups)))
+    whole = 1 << (len(ranges) - 1).bit_length()
+    segments = runs.select(F.col("run").alias("name"), F.lit(0).alias("first"), F.lit(whole).alias("step"), "run")
 
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for paths, n, sample in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    path, _ = _write_run(folder, LoserTree([read_run(p) for p in sorted(paths)]))
-                    sample = sorted(x for s in sample for x in s)
-                    yield pa.RecordBatch.from_pydict({"run": [path], "n": [n], "sample": pa.array([sample[:: max(1, len(sample) // 64)]], pa.list_(pa.binary()))})
-
-        # About half a fan-in of paths a group; the streams' buffers bound the memory.
-        grouped = numbered.groupBy("g").agg(F.collect_list("run").alias("runs"), F.sum("n").alias("n"), F.collect_list("sample").alias("samples")).drop("g")
-        runs = stash(grouped.mapInArrow(merge, "run string, n long, sample array<binary>"), "warc-runs")
-        n_runs = runs.count()
-    got = runs.select("run", "n", "sample").orderBy("run").collect()  # at most fan_in rows
-    total = sum(r["n"] for r in got)
-    keys = sorted(bytes(x) for r in got for x in r["sample"])
-    keys = keys[:: max(1, len(keys) // SPLITTER_SAMPLE)]
-    parts = min(max(1, -(-total // range_captures)), max(1, len(keys)))
-    cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    paths = [r["run"] for r in got]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, number, lo, hi, paths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                path, _ = _write_run(folder, LoserTree([read_run(p, lo, hi) for p in paths]))
+                yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([number], pa.int32()), pa.array([path])], names=["name", "range", "run"])
+
+    while n_runs > fan_in:
+        # Runs are numbered within buckets of bounded size, and a group is `fan_in` neighbours.
+        names = segments.select("name").distinct().withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(-(-n_runs // 4096))))
+        numbered = names.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("name")) - 1)
+        dealt = stash(numbered.select("name", F.concat_ws("-", "bucket", F.floor(F.col("i") / fan_in)).alias("g")), "warc-groups")
+        n_runs = dealt.select("g").distinct().count()
+        wanted = -(-len(ranges) // n_runs)  # of a group, so that its tasks are of a range's size
+        step = min(whole, 1 << (-(-len(ranges) // wanted) - 1).bit_length())
+        tasks = ranged_work(segments.join(dealt, "name"), ranges, step)
+        tasks = tasks.repartition(min(READERS, n_runs * -(-len(ranges) // step)))
+        merged = stash(tasks.mapInArrow(merge, "name string, range int, run string"), "warc-runs")
+        segments = merged.select("name", (F.col("range") * step).alias("first"), F.lit(step).alias("step"), "run")
+    work = ranged_work(segments.withColumn("g", F.lit("")), ranges, 1)
+    work = stash(work.select("range", "lo", "hi", "runs"), "warc-ranges", keep=True)
+    spark = runs.sparkSession
     schema = spark.createDataFrame([], CAPTURE).schema
     names = schema.names
 
@@ -319,10 +370,9 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_capture
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in b.column(0).to_pylist():
-                lo, hi = bounds[i]
+            for _, lo, hi, paths in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held = []
-                for line in LoserTree([read_run(p, lo, hi) for p in paths]):
+                for line in LoserTree([read_run(p, lo, hi) for p in sorted(paths)]):
                     held.append(capture_of(line))
                     if len(held) >= 2000:
                         yield batch(held)
@@ -331,7 +381,7 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_capture
                     yield batch(held)
 
     kinds = [pa.int64() if f.dataType.typeName() == "long" else pa.string() for f in schema]
-    return spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(run, schema)
+    return work.repartitionByRange(len(ranges), "range").sortWithinPartitions("range").mapInArrow(run, schema)
 
 
 def capture_index(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", timestamp: Column | None = None, min_revisit: int = 1000, fan_in: int = FAN_IN, run_captures: int = RUN_CAPTURES) -> DataFrame:
@@ -340,9 +390,11 @@ def capture_index(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     Null payloads are empty, null URLs have the key of the empty URL and null ids stay null; they never are the
     response of others. Equal payloads of at least min_revisit bytes: the largest id is the response, the others
     revisit it; rows that repeat the largest id are all responses. An empty table gives an empty index.
+    Archives and the runs that the index is merged from stay in the shared folder.
     timestamp: text that sorts by time; default: the id, in seconds from 2024.
     """
     folder = scratch(pages.sparkSession, "warc")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timestamp is None else timestamp
-    files = write_archives(pages, folder, id_col=id_col, url_col=url_col, payload=F.coalesce(F.col(html_col), F.lit("")), timestamp=stamp, min_revisit=min_revisit)
-    return merge_runs(capture_runs(files, f"{folder}/runs", run_captures), f"{folder}/runs", fan_in)
+    with workspace(pages.sparkSession), arrow_batches(pages.sparkSession):
+        files = write_archives(pages, folder, id_col=id_col, url_col=url_col, payload=F.coalesce(F.col(html_col), F.lit("")), timestamp=stamp, min_revisit=min_revisit)
+        return merge_runs(capture_runs(files, f"{folder}/runs", run_captures), f"{folder}/runs", fan_in)

@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import warc
 
@@ -55,6 +56,29 @@ def test_round_trip_and_order(spark, fan_in, run_captures):
         assert head["WARC-Payload-Digest"] == f"sha1:{r.payload_digest}" and (r.record_type == "revisit" or len(payload) == r.payload_bytes)
 
 
+def test_archives_are_read_by_as_many_tasks(spark, tmp_path, monkeypatch):
+    """Reading back and every merge pass are dealt out, whatever the size of the tables that list the files."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    df = spark.createDataFrame(pages(n=200), SCHEMA)
+    with warc.workspace(spark):
+        files = warc.write_archives(df, f"file://{tmp_path}", id_col="page_id", url_col="url", payload=F.coalesce("html", F.lit("")), timestamp=F.lit("t"), min_revisit=10**9)
+        spread = files.repartition(max(1, min(files.count(), warc.READERS)))
+        runs = warc.capture_runs(files, f"file://{tmp_path}/runs", 3)
+        out = warc.merge_runs(runs, f"file://{tmp_path}/runs", fan_in=4, range_captures=20)
+        assert spread.rdd.getNumPartitions() == files.count() >= 8 and runs.count() > 60
+        assert out.rdd.getNumPartitions() >= 8
+        got = out.collect()
+        assert [(r.urlkey, r.timestamp) for r in got] == sorted((r.urlkey, r.timestamp) for r in got) and len(got) == 203
+
+
+def test_revisits_name_their_response():
+    raw = warc.record(7, "http://a/", "t1", b"abc" * 500, "d", 9, "http://b/", "t2")
+    head, payload = warc.parse(raw)
+    other, _ = warc.parse(warc.record(9, "http://b/", "t2", b"abc" * 500, "d", None))
+    assert payload == b"" and head["WARC-Refers-To"] == other["WARC-Record-ID"] != head["WARC-Record-ID"]
+    assert (head["WARC-Refers-To-Target-URI"], head["WARC-Refers-To-Date"]) == ('"http://b/"', "t2")
+
+
 def test_empty_table(spark):
     assert warc.capture_index(spark.createDataFrame([], SCHEMA)).count() == 0
 
