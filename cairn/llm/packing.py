@@ -1,6 +1,6 @@
 """Best-fit packing under conflicts.
 
-Documents are dealt by hash to shards of bounded expected size, packed independently, largest first. Open bins stand
+Rows are dealt by hash to shards of bounded expected size, packed independently, largest first. Open bins stand
 in residual order; each carries the set of its sources and of its duplicate clusters as bitmaps. For a
 document the successor search starts at the smallest residual that holds it and goes on upward until the tightest
 bin without a conflict is found; only if there is none a bin is opened. Per source and cluster a bitmap over the
@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stash
+from cairn.llm.common import operator, stash
+
+
+#: Equal rows that are numbered by one task.
+CHUNK = 1 << 20
 
 
 class Bins:
@@ -114,6 +118,7 @@ def pack(rows: list[tuple], capacity: int, track_after: int = 64) -> list[tuple[
     return out
 
 
+@operator
 def pack_documents(docs: DataFrame, *, size: Column, id_col: str = "doc_id", source: Column | None = None, cluster: Column | None = None, capacity: int = 2048, per_shard: int = 2048) -> DataFrame:
     """id, piece, size, shard, bin, bin_id, start: every input row, none dropped.
 
@@ -133,7 +138,16 @@ def pack_documents(docs: DataFrame, *, size: Column, id_col: str = "doc_id", sou
     )
     n = rows.count()
     shards = max(1, -(-n // per_shard))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    if shards > 1:
+        # Rows without an id, or that repeat, are numbered, so that they spread over the shards like any others.
+        counted = rows.groupBy("id", "words", "source", "cluster").agg(F.count(F.lit(1)).alias("n"))
+        some = counted.filter(F.col("n") <= CHUNK).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        many = counted.filter(F.col("n") > CHUNK).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+        many = many.repartition("at").withColumn("k", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + CHUNK, F.col("n")) - 1))).drop("at")
+        rows = some.unionByName(many).withColumn("shard", F.pmod(F.xxhash64("id", "words", "source", "cluster", "k"), F.lit(shards)))
+        rows = stash(rows.select("id", "words", "source", "cluster", "shard"), "packing-shards")
+    else:
+        rows = rows.withColumn("shard", F.lit(0).cast("long"))
     whole = F.when(F.col("words") > 0, F.floor((F.col("words") - 1) / capacity)).otherwise(0)
     rows = rows.withColumn("full", whole.cast("long")).withColumn("size", F.col("words") - F.col("full") * capacity)
 

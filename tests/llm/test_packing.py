@@ -87,3 +87,15 @@ def test_a_hot_source_and_cluster_stay_fast():
     items = [(10, "hot", "same")] * 5000
     placed = packing.pack(items, 100)
     assert len({b for b, _ in placed}) == 5000
+
+
+def test_rows_without_or_with_one_id_spread_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 1000)
+    many = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), F.lit(700).alias("n"))
+    many = many.unionByName(spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), (F.col("id") % 900).cast("int").alias("n")))
+    run = lambda: packing.pack_documents(many, size=F.col("n"), source=F.col("source"), capacity=2048, per_shard=2048)
+    out = run()
+    per = out.groupBy("shard").count().agg(F.max("count").alias("most"), F.count("*").alias("shards")).first()
+    assert out.count() == 320_000 and per.shards == 157 and per.most < 2600
+    mark = lambda df: df.agg(F.bit_xor(F.xxhash64(*df.columns)), F.sum("size"), F.countDistinct("bin_id")).first()
+    assert mark(out) == mark(run())
