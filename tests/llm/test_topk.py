@@ -18,11 +18,11 @@ def brute(data, k, every):
     import numpy as np
 
     ok = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
-    q = {i: [math.floor(float(np.float32(x)) * 256) for x in v] for i, v in data if i is not None and ok(v)}
+    rows = [(i, [math.floor(float(np.float32(x)) * 256) for x in v]) for i, v in data if i is not None and ok(v)]
     out = []
-    for i, v in q.items():
+    for at, (i, v) in enumerate(rows):
         if i % every == 0 and v:
-            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q.items() if j != i and len(w) == len(v))
+            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for other, (j, w) in enumerate(rows) if other != at and len(w) == len(v))
             out += [(i, n + 1, j, -x) for n, (x, j) in enumerate(s[:k])]
     return sorted(out)
 
@@ -38,8 +38,9 @@ def data(n=300, dims=8, seed=2):
 @pytest.mark.parametrize(("bins", "block", "k"), [(4096, 4096, 5), (8, 16, 5), (64, 4096, 1), (16, 8, 400)])
 def test_against_plain_python(spark, monkeypatch, bins, block, k):
     monkeypatch.setattr(topk, "BINS", bins)
-    monkeypatch.setattr(topk, "CANDIDATES", 37)
+    monkeypatch.setattr(topk, "SCORES", 37 * 20)
     d = data()
+    d += [d[8], d[8], d[60], (12, d[13][1]), (13, d[12][1])]  # ids that repeat, with the same and with other vectors
     got = topk.search(table(spark, d), F.col("vec_id") % 4 == 0, k=k, block=block).collect()
     assert sorted(map(tuple, got)) == brute(d, k, 4)
 
