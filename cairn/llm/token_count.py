@@ -6,9 +6,11 @@ vocabulary's longest piece, so a state holds, for each start a longer piece coul
 since, the token before, and the count relative to here. States and transitions are built when first met and the
 table is flushed when it is full, so memory is bounded.
 
-Spaces start pieces and never stand within them, so a space after another character returns to the start state.
-A chunk of text is then a map from entry state to exit state: what precedes its first such boundary, the count
-between, and what follows the last. These maps compose associatively and are reduced by a tree of pairs.
+A long text is cut into chunks, and a chunk is a map from entry state to exit state and count. It is kept as the run
+from the start state: from any other entry state the two runs soon meet, and from there on counts and exit are known.
+Maps compose associatively and are reduced by a tree of pairs, the levels of a prefix scan. Spaces start pieces and
+never stand within them, so a space after another character leads to the same state from everywhere; between such
+places words are counted one by one and remembered.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches
+from cairn.llm.common import operator
 
 SPACE = "▁"
-CHUNK, MAX_STATES, MAX_WORDS, WORD_CHARS = 1 << 16, 150_000, 300_000, 48
+CHUNK, MAX_STATES, MAX_PAIRS, MAX_WORDS, WORD_CHARS = 1 << 16, 400_000, 600_000, 300_000, 48
 START = (("", None, 0),)
 
 
@@ -120,7 +122,7 @@ class Transducer:
         """
         key = (before, token)
         if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 4 * MAX_STATES:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self._fits(before, token)
         return ok
@@ -187,49 +189,91 @@ class Transducer:
                     total += self.spaced[part[1:]] if part[0] == " " else self.bare[part]
         return total
 
-    @staticmethod
-    def chunk_map(chunk: str, body) -> tuple[str, int | None, str]:
-        """(what stands before the first boundary, tokens from there to the last one, the rest); None: no boundary."""
-        first = re.search(r"[^ ] ", chunk)
-        if not first:
-            return chunk, None, ""
-        i, j = first.start() + 1, chunk.rfind(" ")
-        while chunk[j - 1] == " ":
-            j -= 1
-        return chunk[:i], body(chunk[i:j]), chunk[j:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a and then b. What is open between them is counted now, unless it is still open at an end."""
-        left, right = a[0] if a[1] is None else a[2], b[0]
-        between = [left, right] if left[-1:] not in ("", " ") and right[:1] == " " else [left + right]
-        if a[1] is None and b[1] is None:
-            return (between[0], None, "") if len(between) == 1 else (left, 0, right)
-        head = between.pop(0) if a[1] is None else a[0]
-        tail = between.pop() if b[1] is None else b[2]
-        return head, (a[1] or 0) + sum(map(self.body, between)) + (b[1] or 0), tail
+    def trace(self, text: str) -> tuple[list[tuple], list[int]]:
+        """The states after each character, from the start state, and the tokens so far."""
+        states, counts, total, row = [], [], 0, self.rows[START]
+        for char in text:
+            row, n = self.next(row, char)
+            total += n
+            states.append(row[None])
+            counts.append(total)
+        return states, counts
+
+    def next(self, row: dict, char: str) -> tuple[dict, int]:
+        if (arc := row.get(char)) is None:
+            state, n = self.step(row[None], char)
+            arc = row[char] = self.row(state), n
+        return arc
 
     def count(self, text: str) -> int:
         """Tokens of the whole text, with the blank that the library puts before it."""
         if not text:
             return 0
         text = " " + text.replace(SPACE, " ")
-        maps = [self.chunk_map(text[i : i + CHUNK], self.body) for i in range(0, len(text), CHUNK)]
+        if len(text) <= CHUNK:
+            return self.body(text)
+        maps = [ChunkMap(self, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:  # a level of the scan's tree
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return self.body(head) + (n or 0) + self.body(tail)
+            maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0].total
+
+
+class ChunkMap:
+    """Entry state -> (exit state, tokens) of a chunk. total and exit are those of the start state."""
+
+    def __init__(self, machine: Transducer, chunk: str):
+        self.machine = machine
+        first = re.search(r"[^ ] ", chunk)
+        i = first.start() + 1 if first else len(chunk)
+        self.head = chunk[:i].replace(" ", SPACE)
+        self.states, self.counts = machine.trace(self.head)
+        self.fixed, self.exit = 0, self.states[-1]
+        if first:  # from here on all entry states lead to the same
+            j = chunk.rfind(" ")
+            while chunk[j - 1] == " ":
+                j -= 1
+            states, counts = machine.trace(chunk[j:].replace(" ", SPACE))
+            self.fixed, self.exit = machine.body(chunk[i:j]) + counts[-1], states[-1]
+        self.resets = bool(first)
+        self.total = self.counts[-1] + self.fixed
+
+    def apply(self, state: tuple) -> tuple[tuple, int]:
+        row, total = self.machine.row(state), 0
+        was, counted = START, 0
+        for char, now, upto in zip(self.head, self.states, self.counts, strict=True):
+            if row[None] == was:  # the runs meet
+                return self.exit, total + self.total - counted
+            row, n = self.machine.next(row, char)
+            total, was, counted = total + n, now, upto
+        return (self.exit, total + self.fixed) if self.resets or row[None] == was else (row[None], total)
+
+
+class Composed:
+    """The map of a and then b."""
+
+    def __init__(self, a: ChunkMap | Composed, b: ChunkMap | Composed):
+        self.a, self.b = a, b
+        self.exit, n = b.apply(a.exit)
+        self.total = a.total + n
+
+    def apply(self, state: tuple) -> tuple[tuple, int]:
+        middle, n = self.a.apply(state)
+        if middle == self.a.exit:
+            return self.exit, n + self.total - self.a.total
+        end, m = self.b.apply(middle)
+        return end, n + m
 
 
 _MACHINES: dict[int, Transducer] = {}
 
 
+@operator
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null text counts as empty (0 bytes, 0 tokens). Every row is counted by itself, so repeated rows repeat;
     long texts are read in chunks. An empty table gives an empty result; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)  # the size of the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,18 +34,25 @@ def test_counts_equal_the_library(machine, library, chunk, monkeypatch):
             assert machine.count(" " * n + word) == len(library.encode(" " * n + word))
 
 
-def test_composition_is_associative(machine):
-    text = " " + "ab the  in\nx" * 9
-    parts = [text[i : i + 7] for i in range(0, len(text), 7)]
-    maps = [machine.chunk_map(p, machine.body) for p in parts]
+@pytest.mark.parametrize("text", [" " + "ab the  in\nx" * 9, " " + "日本語中文字" * 30, " " + "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 12, " " + "aaaaaaaa" * 20, " " * 90, " \n" * 30])
+@pytest.mark.parametrize("size", [1, 7, 16])
+def test_maps_compose(machine, text, size):
+    """Also without blanks: chunks are counted each by itself, in any order of composing, from any entry state."""
+    maps = [tc.ChunkMap(machine, text[i : i + size]) for i in range(0, len(text), size)]
     left = maps[0]
     for m in maps[1:]:
-        left = machine.compose(left, m)
+        left = tc.Composed(left, m)
     right = maps[-1]
     for m in reversed(maps[:-1]):
-        right = machine.compose(m, right)
-    end = lambda m: machine.body(m[0]) + (m[1] or 0) + machine.body(m[2])
-    assert end(left) == end(right) == machine.count(text[1:])
+        right = tc.Composed(m, right)
+    marked = text.replace(" ", tc.SPACE)
+    assert left.total == right.total == machine.run(marked) == machine.count(text[1:])
+    for entry in (tc.START, *machine.trace("▁the▁inter")[0], *machine.trace("aaa日本")[0]):
+        row, n = machine.row(entry), 0
+        for char in marked:
+            row, k = machine.next(row, char)
+            n += k
+        assert left.apply(entry) == right.apply(entry) == (row[None], n)
 
 
 def test_flushed_tables_change_nothing(library, monkeypatch):
