@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import crc_mod3, small_batches
+from cairn.llm.common import crc_mod3, operator
 from cairn.llm.mixing import HASH_BITS, hash60
 
 GRAMS, DIM, BATCH, PART = (1, 2, 3), 1 << 13, 64, 1 << 20
@@ -86,13 +86,16 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_la
     near: Column = F.lit(False)
     for r in counts:
         near = near | ((F.col(lang_col) == r["lang"]) & (hash60(F.col(id_col)) < int(min(1.0, per_language / r["count"]) * (1 << HASH_BITS))))
-    got = rows.filter(near).select(lang_col, text_col, hash60(F.col(id_col)).alias("h")).limit(2 * per_language * len(counts)).collect()
-    got.sort(key=lambda r: (r["h"], r[1]))
-    return [r[1] for r in got], [r[0] for r in got]
+    # In order, so that the bound cuts the same rows each time.
+    got = rows.filter(near).select(F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), hash60(F.col(id_col)).alias("_h")).orderBy("_h", "_t", "_l").limit(2 * per_language * len(counts)).collect()
+    return [r["_t"] for r in got], [r["_l"] for r in got]
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_languages: int = 200, max_bytes: int = 1 << 16) -> Model:
-    """Fit on a bounded sample of the rows given (at most 2 x per_language x max_languages texts of at most max_bytes)."""
+    """Fit on a bounded sample of the rows given (at most 2 x per_language x max_languages texts of at most max_bytes).
+
+    Only the max_languages most frequent labels are learnt; rarer ones are never predicted.
+    """
     return fit(*sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, max_languages=max_languages, max_bytes=max_bytes))
 
 
@@ -100,7 +103,6 @@ def _scored(docs: DataFrame, model: Model, names: list[str], text_col: str) -> D
     """The named columns, the predicted language and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks floats: of fixed size
     width, own = len(names), names.index(text_col) if text_col in names else len(names) + 1
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -121,6 +123,7 @@ def _scored(docs: DataFrame, model: Model, names: list[str], text_col: str) -> D
     return rows.mapInArrow(run, schema)
 
 
+@operator
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (share of the chosen language, 0 to 1) of every whole text.
 
@@ -132,7 +135,12 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows whose language can be told, with all their columns, whatever these are called."""
+    """The rows whose language can be told, with all their columns, whatever these are called.
+
+    If the model knows no language (no row had a label), all rows with a letter stay.
+    """
+    if not model.langs:
+        return docs.filter(F.col(text_col).rlike(LETTER))
     return _scored(docs, model, docs.columns, text_col).filter("_cairn_lang <> 'und'").select(docs.columns)
 
 

@@ -62,3 +62,33 @@ def test_sample_is_bounded(spark):
     data = [(i, "word here", "en", "s", 0) for i in range(2000)]
     texts, langs = langid.sample(docs(spark, data), id_col="doc_id", text_col="text", lang_col="lang", per_language=50, max_languages=3, max_bytes=100)
     assert 20 <= len(texts) <= 100 and set(langs) == {"en"}
+
+
+def test_landmarks_and_ridge_equal_the_dual_solve():
+    """With every text a landmark the Nystroem features are exact: scores equal kernel ridge regression in the dual, weighted by class."""
+    rng = np.random.default_rng(2)
+    words = {"en": ["the", "and", "river", "stone"], "fr": ["avec", "pour", "les", "été"], "de": ["und", "für", "straße", "nicht"]}
+    langs = ["en"] * 30 + ["fr"] * 20 + ["de"] * 10
+    texts = [" ".join(rng.choice(words[x], 6)) + f" {i}" for i, x in enumerate(langs)]
+    model = langid.fit(texts, langs, landmarks=3 * 60, ridge=1e-2)
+    new = [" ".join(rng.choice(sum(words.values(), []), 5)) for _ in range(40)]
+    sets = lambda s: {(n, s.lower().encode()[i : i + n]) for n in langid.GRAMS for i in range(len(s.encode()) - n + 1)}
+    x, z = langid.presences(texts).astype(np.float64), langid.presences(new).astype(np.float64)
+    a, b = sets(texts[0]), sets(texts[1])
+    assert x[0] @ x[1] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, abs=0.01)
+    names = sorted(words)
+    y = (np.array(langs)[:, None] == np.array(names)).astype(float)
+    weight = len(langs) / 3 / y.sum(axis=0)[[names.index(v) for v in langs]]
+    # (W^1/2 K W^1/2 + r I) dual: minimises sum of w (f - y)^2 + r |f|^2
+    root = np.sqrt(weight)
+    dual = np.linalg.solve(root[:, None] * (x @ x.T) * root + 1e-2 * len(langs) / 100 * np.eye(len(langs)), root[:, None] * y) * root[:, None]
+    f = z @ x.T @ dual
+    assert np.abs(z @ model.landmarks @ model.coefficients - f).max() < 2e-3
+    e = np.exp(model.sharpness * f)
+    assert np.allclose(model.scores(new), e / e.sum(axis=1, keepdims=True), atol=0.02)
+
+
+def test_nothing_goes_where_no_language_is_known(spark):
+    data = [(1, "some words", None, None, None), (2, "123", None, None, None), (3, None, None, None, None)]
+    kept = langid.keep_known(docs(spark, data), langid.train(docs(spark, data)))
+    assert [r.doc_id for r in kept.collect()] == [1] and kept.columns == docs(spark, data).columns
