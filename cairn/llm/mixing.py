@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, maybe_broadcast, stash
+from cairn.llm.common import WORD, maybe_broadcast, operator, stash
 
 HASH_BITS, LEVEL_BITS = 60, 12
 
@@ -53,15 +53,13 @@ def source_targets(sizes: DataFrame, cycle: int = 3, max_repeats: int = 3) -> Da
     return s.select("source", "source_size", F.when(level.isNull() | (even >= F.col("cap")), F.col("cap").cast("double")).otherwise(even).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: int = 3, max_repeats: int = 3) -> DataFrame:
-    """One row per input row: id, size, source_size, target, repeats, taken.
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h"))
+    return stash(rows, "mix")
 
-    A document is taken floor(target / source_size) times, and once more if its hash lies below its source's
-    threshold, chosen so that the words taken are within half a document of the target.
-    Null or empty text: size 0. Null source: a source of its own, last in order. Rows with the same id share a
-    hash and so a decision. An empty table gives an empty result; other columns are not read.
-    """
-    base = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h")), "mix")
+
+def _cuts(base: DataFrame, cycle: int, max_repeats: int) -> tuple[DataFrame, int]:
+    """By source: what its documents are taken, the hash below which they are taken once more, and whether it is at its cap; the number of sources."""
     sizes = stash(base.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
     n_sources = sizes.count()
     target, own = F.col("target"), F.col("source_size")
@@ -76,12 +74,43 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
         state = _refine(base, state, n_sources, shift)
     # The boundary document goes in if that is nearer to the budget than leaving it out.
     nearer = (F.col("here") > 0) & (F.col("below") + F.col("here") - F.col("budget") < F.col("budget") - F.col("below"))
-    cuts = state.select(F.col("source").alias("s"), "source_size", "target", "reps", F.when(nearer, F.col("hi")).otherwise(F.col("lo")).alias("cut"))
-    out = base.join(maybe_broadcast(cuts, n_sources), F.col("source").eqNullSafe(F.col("s")))
-    out = out.withColumn("repeats", F.col("reps") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0))
+    # At the cap nothing is taken once more, not even what has no words.
+    cut = F.when(F.col("reps") >= max_repeats, 0).when(nearer, F.col("hi")).otherwise(F.col("lo"))
+    return state.select(F.col("source").alias("s"), "source_size", "target", "reps", cut.alias("cut")), n_sources
+
+
+def _repeats() -> Column:
+    return F.col("reps") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+
+
+@operator
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: int = 3, max_repeats: int = 3) -> DataFrame:
+    """One row per input row: id, size, source_size, target, repeats, taken.
+
+    A document is taken floor(target / source_size) times, and once more if its hash lies below its source's
+    threshold, chosen so that the words taken are within half a document of the target.
+    Null or empty text: size 0. Null source: a source of its own, last in order. Rows with the same id share a
+    hash and so a decision. An empty table gives an empty result; other columns are not read.
+    """
+    base = _sized(docs, id_col, source_col, text_col)
+    cuts, n_sources = _cuts(base, cycle, max_repeats)
+    out = base.join(maybe_broadcast(cuts, n_sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("repeats", _repeats())
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
 
 
+@operator
+def _thresholds(docs: DataFrame, id_col: str, source_col: str, text_col: str, cycle: int, max_repeats: int) -> DataFrame:
+    return _cuts(_sized(docs, id_col, source_col, text_col), cycle, max_repeats)[0]
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: int = 3, max_repeats: int = 3) -> DataFrame:
+    """Each row of docs as often as `mix_sources` takes it, with all its columns. Only the table of sources is joined; texts do not move."""
+    cuts = _thresholds(docs, id_col, source_col, text_col, cycle, max_repeats).select(*[F.col(c).alias(f"_cairn_{c}") for c in ("s", "reps", "cut")])
+    rows = docs.join(maybe_broadcast(cuts, cuts.count()), F.col(source_col).eqNullSafe(F.col("_cairn_s")))
+    again = F.col("_cairn_reps") + F.when(hash60(F.col(id_col)) < F.col("_cairn_cut"), 1).otherwise(0)
+    return rows.withColumn("_cairn_n", again).filter("_cairn_n > 0").withColumn("_cairn_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cairn_n")))).select(docs.columns)
+
+
 def _refine(base: DataFrame, state: DataFrame, n_sources: int, shift: int) -> DataFrame:
     """Split each source's boundary range [lo, hi) by the next bits and find the bucket in which its budget ends."""
     edge = maybe_broadcast(state.select(F.col("source").alias("s"), "lo", "hi", "budget", "below").filter("n > 1"), n_sources)

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -66,3 +66,13 @@ def test_nothing_to_mix(spark, data):
 def test_one_source_only(spark):
     got = mixing.mix_sources(docs(spark, [(i, "a b", "en", "s", 3) for i in range(10)])).collect()
     assert all(r.taken == 2 and r.target == 20.0 for r in got)
+
+
+def test_rows_without_words_are_taken_three_times_at_most(spark):
+    """Sources at their cap, with rows of size 0 whose hash comes first."""
+    data = [(i, "" if i % 2 else "a b c", "en", "a" if i < 4 else "b" if i < 10 else "c", 0) for i in range(60)]
+    got = mixing.mix_sources(docs(spark, data)).collect()
+    assert max(r.repeats for r in got) == 3 and {r.target / r.source_size for r in got if r.source_size} & {3.0}
+    kept = mixing.mixed(docs(spark, data))
+    assert kept.columns == docs(spark, data).columns
+    assert {i: n for i, n in Counter(r.doc_id for r in kept.collect()).items()} == {r.doc_id: r.repeats for r in got if r.repeats}
