@@ -65,9 +65,3 @@ def without(docs: DataFrame, every: DataFrame, gone: DataFrame, id_col: str, th:
         once = rows.join(again, on, "left_semi").dropDuplicates(["_cairn_i", "_cairn_t"])
         rows = rows.join(again, on, "left_anti").unionByName(once)
     return rows.select(docs.columns)
-
-
-def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
-    """Bound the Arrow batches between the JVM and Python for the rest of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
