@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup, langid, mixing, packing, simhash
-from cairn.llm.common import scratch
+from cairn.llm.common import delete, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    taken = mixing.mix_sources(docs).filter("repeats > 0").select(F.col("doc_id").alias("_cairn_id"), "repeats")
-    out = docs.join(taken.groupBy("_cairn_id").agg(F.max("repeats").alias("_cairn_repeats")), F.col("doc_id").eqNullSafe(F.col("_cairn_id")))
-    return out.withColumn("_cairn_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cairn_repeats")))).select(docs.columns)
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each result is written to the shared folder and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on `documents`; each result is written to the shared folder, read again as the next one's input, and then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name.split()[0].lower()}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
