@@ -7,7 +7,9 @@ similar one. The others' whole sets are ordered by frequency, rarest first; a si
 each, and where it shares the first one, enough of both must still follow (positional filter). What is left are lists of
 texts that may be similar. As only components are asked for, a list need not be compared pair by pair: in a leader round
 each list compares a few members with those that are not under their roots yet, and what links is merged. Once rounds
-leave most of the open pairs as they are, all of these (members of one list, under different roots) are compared. Every
+leave most of the open pairs as they are, all of these (members of one list, under different roots) are compared, but
+for those that parity bits rule out: each set keeps, for SKETCH * 64 classes of shingles, whether it holds an odd number;
+where two sets differ in such a bit they differ in a shingle at least, so this never rules out a similar pair. Every
 comparison is made on the whole sets.
 """
 
@@ -31,6 +33,8 @@ from cairn.llm.simhash import identified, relabelled
 WIDE = 2
 #: Leaders of a list in a round, and the share of pairs that may be left open for another round to be worth it.
 LEADERS, WORTH = 4, 0.5
+#: 64-bit words of a set's parity bits.
+SKETCH = 16
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int, set_width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -129,7 +133,7 @@ def merge(docs: DataFrame, base: DataFrame, nodes: DataFrame, id_col: str, text_
         if not rows:
             break
         last = pairs <= 2 * rows or pairs >= before * WORTH
-        met = stash(all_open(open_, num, den) if last else led(open_, number, num, den), "sets-met")
+        met = stash(all_open(open_, sets, num, den) if last else led(open_, number, num, den), "sets-met")
         found = similar(met, sets, num, den)
         edges = found if edges is None else edges.unionByName(found)
         if last:
@@ -168,7 +172,7 @@ def whole_sets(docs: DataFrame, base: DataFrame, asked: DataFrame, id_col: str,
 
 
 def _other(rows: DataFrame, suffix: str) -> DataFrame:
-    return rows.select("h", *[F.col(c).alias(f"{c}{suffix}") for c in ("sk", "p", "n", "root")])
+    return rows.select("h", *[F.col(c).alias(f"{c}{suffix}") for c in rows.columns if c != "h"])
 
 
 def _may_be_similar(num: int, den: int) -> Column:
@@ -186,15 +190,35 @@ def led(open_: DataFrame, number: int, num: int, den: int) -> DataFrame:
     return met.select("sk1", "root1", "sk2", "root2").distinct()
 
 
-def all_open(open_: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a list's members that are under different roots, found by roots first; roots none of whose members may be similar go at once."""
+def parity_bits(s: Column) -> Column:
+    """SKETCH words of bits: bit i is set if the set holds an odd number of shingles of class i."""
+
+    def word(i: int) -> Column:
+        of = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == i
+        return F.aggregate(s, F.lit(0).cast("long"), lambda x, h: F.when(of(h), x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(x))
+
+    return F.array(*[word(i) for i in range(SKETCH)])
+
+
+def _few_bits_differ(num: int, den: int) -> Column:
+    """Sets differ in as many shingles as bits, or more; with more than this leaves, they are not similar."""
+    differ = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SKETCH)), F.lit(0))
+    return (F.col("n1") + F.col("n2") - differ) * (num + den) >= (F.col("n1") + F.col("n2")) * (2 * num)
+
+
+def all_open(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a list's members that are under different roots and may be similar, found by roots first; roots none of whose members may be similar go at once."""
+    asked = stash(open_.select("sk").distinct(), "sets-asked")
+    many = asked.count()
+    bits = stash(sets.join(maybe_broadcast(asked, many), "sk", "left_semi").select("sk", parity_bits(F.col("s")).alias("bits")), "sets-bits")
+    members = open_.join(maybe_broadcast(bits, many), "sk")
     n, m = F.col("n"), F.col("n") - F.col("p")
     parts = open_.groupBy("h", "root").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.max(m).alias("m"))
     one, other = (parts.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("root", "lo", "hi", "m")]) for i in (1, 2))
     long_enough = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
     enough = F.least("m1", "m2") * (num + den) >= (F.col("lo1") + F.col("lo2")) * num
     two = one.join(other, "h").filter((F.col("root1") < F.col("root2")) & long_enough & enough).select("h", "root1", "root2")
-    met = two.join(_other(open_, "1"), ["h", "root1"]).join(_other(open_, "2"), ["h", "root2"]).filter(_may_be_similar(num, den))
+    met = two.join(_other(members, "1"), ["h", "root1"]).join(_other(members, "2"), ["h", "root2"]).filter(_may_be_similar(num, den) & _few_bits_differ(num, den))
     return met.select("sk1", "root1", "sk2", "root2").distinct()
 
 

@@ -64,3 +64,31 @@ def test_links_in_long_lists(spark):
     assert {r.doc_id for r in cp.near(spark, docs(spark, data), "").collect()} == want
     similar_sets.MAX_FILTER_BITS = most
     assert 1 < len(want) < len(data) - 20
+
+
+def test_few_pairs_are_compared_in_a_large_group(spark, monkeypatch):
+    """Copies of one text of which most pairs are just not similar: what the last round compares is not all pairs, and no link is lost."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for i in range(160):
+        words = list(base)
+        for k in rng.sample(range(200), rng.randint(2, 5)):
+            words[k] = f"n{rng.randint(0, 10**6)}"
+        data.append((i, " ".join(words), "en", "s", 0))
+    sets = [shingles(r[1]) for r in data]
+    similar = [(a, b) for a in range(len(data)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    compared, was = [], similar_sets.all_open
+
+    def counted(*args):
+        met = was(*args)
+        compared.append(met.count())
+        return met
+
+    monkeypatch.setattr(similar_sets, "all_open", counted)
+    monkeypatch.setattr(similar_sets, "LEADERS", 1)
+    fp = [brute_fingerprint(r[1]) for r in data]
+    bits = [(a, b) for a in range(len(data)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3]
+    assert {r.doc_id for r in cp.near(spark, docs(spark, data), "").collect()} == set(classes(len(data), bits + similar))
+    assert len(similar) > 50
+    assert sum(compared) <= 2 * len(similar)
