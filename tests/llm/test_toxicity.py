@@ -111,3 +111,20 @@ def test_columns_of_other_names(spark):
     other = docs(spark, data, clash=False).toDF("doc_id", "body", "tongue", "source", "n_chars").withColumns({"text": F.lit("vilex"), "lang": F.lit("xx")})
     got = tx.classify(other, spark.createDataFrame(labels, LABELS), text_col="body", lang_col="tongue").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_learns_from_long_texts_and_all_rows(spark, monkeypatch):
+    """Toxic texts are all long; training sees every labelled row, in several shards, and agrees with itself."""
+    data, labels = corpus(320)
+    toxic = {i for i, _, t in labels if t}
+    data = [(i, text + " stone river over the cloud" * 1300 if i in toxic else text, *rest) for i, text, *rest in data]
+    assert min(len(r[1]) for r in data if r[0] in toxic) > 1 << 15
+    monkeypatch.setattr(tx, "SHARD_ROWS", 64)
+    monkeypatch.setattr(tx, "BATCH_WORDS", 4096)  # parts of a text
+    trained, was = [], tx.fit
+    monkeypatch.setattr(tx, "fit", lambda rows, *a, **k: (trained.append(rows.count()), was(rows, *a, **k))[1])
+    marked = spark.createDataFrame(labels, LABELS)
+    got, again = (sorted(map(tuple, tx.classify(docs(spark, data, clash=False), marked).collect())) for _ in range(2))
+    assert got == again
+    assert trained[0] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in labels)
+    assert np.mean([predicted == (i in toxic) for i, held, _, predicted, _ in got if held]) > 0.95
