@@ -7,14 +7,16 @@ similar one. The others' whole sets are ordered by frequency, rarest first; a si
 each, and where it shares the first one, enough of both must still follow (positional filter). What is left are lists of
 texts that may be similar. As only components are asked for, a list need not be compared pair by pair: in a leader round
 each list compares a few members with those that are not under their roots yet, and what links is merged. Once rounds
-leave most of the open pairs as they are, all of these (members of one list, under different roots) are compared, but
-for those that parity bits rule out: each set keeps, for SKETCH * 64 classes of shingles, whether it holds an odd number;
-where two sets differ in such a bit they differ in a shingle at least, so this never rules out a similar pair. Every
-comparison is made on the whole sets.
+leave most of the open pairs as they are (members of one list, under different roots), the rest is settled by what each
+set has other than a leader's: near copies of one text share most of their shingles, and few of these differences, so a
+second prefix filter, over the differences, meets few pairs (`all_open`). Parity bits rule out most that it does: each set
+keeps, for SKETCH * 64 classes of shingles, whether it holds an odd number; where two sets differ in such a bit they differ
+in a shingle at least, so this never rules out a similar pair. Every comparison is made on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ WIDE = 2
 LEADERS, WORTH = 4, 0.5
 #: 64-bit words of a set's parity bits.
 SKETCH = 16
+#: Classes of a group's members, by how far they are from their leader.
+CLASSES = 4
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int, set_width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -206,20 +210,75 @@ def _few_bits_differ(num: int, den: int) -> Column:
     return (F.col("n1") + F.col("n2") - differ) * (num + den) >= (F.col("n1") + F.col("n2")) * (2 * num)
 
 
+def led_groups(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """(leader, sk, root): the members of each list under one of them, twice by length classes of which any two similar sets share one.
+
+    The leader is the least in one order for all lists, so the lists of one group of texts mostly have the same.
+    """
+    at = F.log(F.col("n").cast("double")) / ((3 * math.log(den / num)) or 1.0)
+    rows = open_.select("h", "sk", "root", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.floor(at + i / 2).alias("class")) for i in (0, 1)])).alias("c")).select("h", "sk", "root", "c.*")
+    key = ["h", "grid", "class"]
+    first = rows.groupBy(*key).agg(F.min(F.struct(F.xxhash64("sk"), "sk"))["sk"].alias("leader"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return rows.join(first.select(*key, "leader"), key).select("leader", "sk", "root").distinct()
+
+
+def deltas(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(leader, sk, root, n, m, w, d): where each member's set differs from its leader's: d, of size m; w is (num + den) m - (den - num) n."""
+    group = stash(led_groups(open_, num, den), "sets-groups")
+    asked = stash(group.select("sk").distinct(), "sets-asked")
+    some = sets.join(maybe_broadcast(asked, asked.count()), "sk", "left_semi")
+    own = group.join(some.select("sk", "n", "s"), "sk").join(some.select(F.col("sk").alias("leader"), F.col("s").alias("l")), "leader")
+    rows = own.select("leader", "sk", "root", "n", F.concat(F.array_except("s", "l"), F.array_except("l", "s")).alias("d"))
+    m = F.size("d").cast("long")
+    return stash(rows.select("leader", "sk", "root", "n", m.alias("m"), (m * (num + den) - F.col("n") * (den - num)).alias("w"), "d"), "sets-deltas")
+
+
+def delta_prefixes(rows: DataFrame, stats: DataFrame, num: int, den: int) -> DataFrame:
+    """(leader, x, sk, root, n, w, rest, own, other, minor): by class of the partner's w, the first of each delta that a similar one must meet; rest follow, with it."""
+    n, m, w = F.col("n"), F.col("m"), F.col("w")
+    post = rows.join(stats.select("leader", "main"), "leader").select("leader", "sk", (F.col("root") != F.col("main")).alias("minor"), F.explode("d").alias("x"))
+    held = post.groupBy("leader", "x").agg(F.count(F.lit(1)).alias("df"), F.bool_or("minor").alias("minor")).filter("df > 1 and minor").select("leader", "x", "df")
+    rare = post.join(held, ["leader", "x"]).groupBy("leader", "sk").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("shared"))  # a member's own differences
+    all_ = rows.drop("d").join(rare, ["leader", "sk"]).join(stats, "leader")
+    all_ = all_.select("leader", "sk", "root", "n", "m", "w", "shared", (F.col("root") != F.col("main")).alias("minor"), (F.size(F.filter("cuts", lambda c: c <= w)) - 1).alias("own"), "cuts", F.posexplode("cuts").alias("other", "lo"))
+    least = F.greatest("lo", 1 - w, w - 2 * (den - num) * F.floor(n * den / num).cast("long"))  # the least w that a partner of this class can have
+    all_ = all_.withColumn("next", F.get("cuts", F.col("other") + 1)).filter(F.col("next").isNull() | (least < F.col("next")))
+    need = F.greatest(F.lit(1), F.ceil((w + least) / (2 * (num + den)))).cast("long")
+    alone = m - F.size("shared")  # these come first in the order
+    all_ = all_.withColumn("alone", alone).withColumn("k", m - need + 1 - alone).filter("k > 0")
+    out = all_.select("leader", "sk", "root", "n", "m", "w", "own", "other", "minor", "alone", F.posexplode(F.slice("shared", 1, F.col("k").cast("int"))).alias("i", "y"))
+    return stash(out.select("leader", "y.x", "sk", "root", "n", "w", (m - F.col("alone") - F.col("i")).alias("rest"), "own", "other", "minor"), "sets-prefixes")
+
+
 def all_open(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a list's members that are under different roots and may be similar, found by roots first; roots none of whose members may be similar go at once."""
-    asked = stash(open_.select("sk").distinct(), "sets-asked")
+    """Pairs of lists' members under different roots that may be similar; they link all such pairs that are.
+
+    With a and b what two sets have other than their leader's, the sets are similar if, and only if, w of both is at most
+    2 (num + den) |a & b|. If the w are not above zero together, both are similar to the member of least w, which stands
+    for the pair. Else a and b meet: in the order of frequency in the group, among the first of each, the fewer the larger
+    the two w are. One of the two is not under the group's most frequent root. Parity bits rule out most of what is left.
+    """
+    rows = deltas(open_, sets, num, den)
+    main = rows.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    cuts = F.concat(F.array(F.min("w")), F.percentile_approx("w", [i / CLASSES for i in range(1, CLASSES)]))
+    stats = rows.groupBy("leader").agg(F.min(F.struct("w", "sk", "root")).alias("first"), F.array_sort(F.array_distinct(cuts)).alias("cuts"))
+    stats = stash(stats.join(main, "leader"), "sets-leaders")
+    near = rows.join(stats, "leader").filter((F.col("w") + F.col("first.w") <= 0) & (F.col("root") != F.col("first.root")))
+    near = near.select(F.col("sk").alias("sk1"), F.col("root").alias("root1"), F.col("first.sk").alias("sk2"), F.col("first.root").alias("root2"))
+    rows = delta_prefixes(rows, stats.select("leader", "main", "cuts"), num, den)
+    member = ["sk", "root", "n", "w", "rest"]
+    one, other = ([F.col(c).alias(f"{c}{i}") for c in member] for i in (1, 2))
+    one = rows.filter("minor").select("leader", "x", F.col("own").alias("i"), F.col("other").alias("j"), *one)
+    other = rows.select("leader", "x", F.col("other").alias("i"), F.col("own").alias("j"), *other)
+    sum_ = F.col("w1") + F.col("w2")
+    long_enough = F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num
+    met = one.join(other, ["leader", "x", "i", "j"]).filter((F.col("root1") != F.col("root2")) & (sum_ > 0) & long_enough & (F.least("rest1", "rest2") * (2 * (num + den)) >= sum_))
+    met = stash(met.select("sk1", "root1", "sk2", "root2", "n1", "n2").distinct(), "sets-may-meet")
+    asked = stash(met.select(F.col("sk1").alias("sk")).unionByName(met.select(F.col("sk2").alias("sk"))).distinct(), "sets-asked")
     many = asked.count()
     bits = stash(sets.join(maybe_broadcast(asked, many), "sk", "left_semi").select("sk", parity_bits(F.col("s")).alias("bits")), "sets-bits")
-    members = open_.join(maybe_broadcast(bits, many), "sk")
-    n, m = F.col("n"), F.col("n") - F.col("p")
-    parts = open_.groupBy("h", "root").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.max(m).alias("m"))
-    one, other = (parts.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("root", "lo", "hi", "m")]) for i in (1, 2))
-    long_enough = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
-    enough = F.least("m1", "m2") * (num + den) >= (F.col("lo1") + F.col("lo2")) * num
-    two = one.join(other, "h").filter((F.col("root1") < F.col("root2")) & long_enough & enough).select("h", "root1", "root2")
-    met = two.join(_other(members, "1"), ["h", "root1"]).join(_other(members, "2"), ["h", "root2"]).filter(_may_be_similar(num, den) & _few_bits_differ(num, den))
-    return met.select("sk1", "root1", "sk2", "root2").distinct()
+    both = met.join(maybe_broadcast(bits.select(F.col("sk").alias("sk1"), F.col("bits").alias("bits1")), many), "sk1").join(maybe_broadcast(bits.select(F.col("sk").alias("sk2"), F.col("bits").alias("bits2")), many), "sk2")
+    return both.filter(_few_bits_differ(num, den)).select("sk1", "root1", "sk2", "root2").unionByName(near).distinct()
 
 
 def similar(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import corpus_pipeline as cp
@@ -92,3 +93,47 @@ def test_few_pairs_are_compared_in_a_large_group(spark, monkeypatch):
     assert {r.doc_id for r in cp.near(spark, docs(spark, data), "").collect()} == set(classes(len(data), bits + similar))
     assert len(similar) > 50
     assert sum(compared) <= 2 * len(similar)
+
+
+def join_rows(spark, run):
+    """The rows that joins make while this runs, by Spark's own count."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out = store.executionsCount(), run()
+    executions, total = store.executionsList(), 0
+    for i in range(before, executions.size()):
+        number = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for k in range(nodes.size()):
+            metrics = nodes.apply(k).metrics()
+            for j in range(metrics.size() if "Join" in nodes.apply(k).name() else 0):
+                m = metrics.apply(j)
+                if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    total += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return out, total
+
+
+def test_joins_make_few_rows_in_a_large_group(spark, monkeypatch):
+    """Many copies under one root and many that are not similar to them, though they share most of their shingles: twice as many make about twice the rows, and no link is lost."""
+    made = []
+    for size in (150, 300):
+        rng = random.Random(size)
+        base = [f"w{i}" for i in range(200)]
+        sets, far = [], base
+        for i in range(size):
+            words = list(far if i % 6 == 3 else base)  # every other one that is far from the base has one near it
+            for k in rng.sample(range(200), 2 if i % 3 else 1 if i % 6 else rng.randint(5, 8)):
+                words[k] = f"n{rng.randint(0, 10**6)}"
+            far = far if i % 3 else words
+            sets.append([int.from_bytes(hashlib.md5(" ".join(x).encode()).digest()[:8], "big", signed=True) for x in shingles(" ".join(words))])
+        near = lambda a, b: 9 * len({*sets[a]} & {*sets[b]}) >= 4 * (len(sets[a]) + len(sets[b]))
+        roots = classes(size, [(a, b) for a in range(size) for b in range(a) if a % 3 and b % 3 and near(a, b)])
+        lists = [(h, i, p, len(sets[i]), roots[i]) for h, p in ((1, 1), (2, 2), (3, 3)) for i in range(size)]
+        open_ = spark.createDataFrame(lists, "h long, sk long, p long, n long, root long")
+        frame = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(sets)], "sk long, n long, s array<long>")
+        run = lambda: similar_sets.similar(similar_sets.stash(similar_sets.all_open(open_, frame, 4, 5), "test-met"), frame, 4, 5).collect()  # noqa: B023, E731
+        got, rows = join_rows(spark, run)
+        want = classes(size, [(a, b) for a in range(size) for b in range(a) if near(a, b)])
+        links = [(r.a, r.b) for r in got] + [(i, r) for i, r in enumerate(roots) if i != r]
+        assert classes(size, links) == want and len(set(want)) < len(set(roots))
+        made.append(rows)
+    assert made[1] < 3 * made[0], made
