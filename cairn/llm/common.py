@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.shared import arrow_batches, delete, drop_stash, scratch, stash, workspace  # noqa: F401  the operators take them from here
+from cairn.shared import arrow_batches, delete, drop_stash, gives_back, scratch, stash, workspace  # noqa: F401  the operators take them from here
 
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

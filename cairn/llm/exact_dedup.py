@@ -1,7 +1,8 @@
 """Exact dedup by a log-structured merge index over text digests.
 
 Memtables (bounded batches of rows) are sorted by digest and flushed as runs: one entry for each digest, with the
-smallest key and the number of rows. Compaction deals the entries by digest, merges the sorted runs and keeps the
+smallest key and the number of rows. Only digests and keys are moved for that; texts are copied where a memtable holds
+their digest twice. Compaction deals the entries by digest, merges the sorted runs and keeps the
 smallest keys; texts stay where they are. Digests that several runs hold are hits. A filter of bounded size over the
 hits decides, where the texts are read, which of them are sent on, and every hit is verified byte by byte: inside a
 memtable against its neighbour, between runs against the first text of the digest. A hot text shrinks to one entry a
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bit_filter import bit_filter, may_hold
-from cairn.llm.common import maybe_broadcast, operator, stash, without
+from cairn.llm.common import gives_back, maybe_broadcast, operator, stash, without
 
 MEMTABLE_BYTES = 24 << 20
 LAST = (1 << 63) - 1
@@ -41,34 +42,57 @@ def changed(c: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def memtables(batches: Batches, limit: int) -> Iterator[pa.Table]:
-    """Bounded batches of rows, sorted by all their columns."""
+    """Bounded batches of rows, as they came."""
     held, size = [], 0
 
     def full() -> pa.Table:
+        nonlocal held, size
         t = pa.Table.from_batches(held)
-        return t.take(pc.sort_indices(t, [(c, "ascending") for c in t.column_names])).combine_chunks()
+        held, size = [], 0
+        return t
 
     for b in batches:
         if b.num_rows:
             held.append(b)
             size += b.nbytes
         if size >= limit:
+            del b
             yield full()
-            held, size = [], 0
     if held:
         yield full()
 
 
-def run_of(t: pa.Table) -> pa.Table:
-    """The run of a memtable (digest, text, key): clash if the bytes of a digest's texts differ."""
-    new = changed(t["digest"])
-    at = np.flatnonzero(new)
-    key = np.minimum.reduceat(t["key"].to_numpy(), at) if len(at) else np.empty(0, np.int64)
-    other = changed(t["text"]) & ~new  # the byte verification
-    clash = np.maximum.reduceat(other, at) if len(at) else np.empty(0, bool)
-    return pa.table({"digest": t["digest"].take(at), "key": key, "n": np.diff(np.append(at, len(t))), "clash": clash})
+def by_digest(t: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray, np.ndarray]:
+    """A memtable's order by digest, the digests in that order, and by row whether its digest is there again."""
+    order = pc.sort_indices(t["digest"]).to_numpy()
+    digest = t["digest"].take(order)
+    new = changed(digest)
+    again = np.empty(len(t), bool)
+    again[order] = ~(new & np.append(new[1:], True)[: len(t)])
+    return order, digest, again
+
+
+def copies_of(t: pa.Table, again: np.ndarray) -> pa.Table:
+    """The rows (digest, text) of a memtable whose digest is there again, sorted."""
+    few = t.select(["digest", "text"]).filter(pa.array(again))
+    return few.take(pc.sort_indices(few, [("digest", "ascending"), ("text", "ascending")]))
 
 
+def run_of(t: pa.Table) -> pa.Table:
+    """The run of a memtable (digest, text, key): clash if the bytes of a digest's texts differ."""
+    order, digest, again = by_digest(t)
+    at = np.flatnonzero(changed(digest))
+    key = np.minimum.reduceat(t["key"].to_numpy()[order], at) if len(at) else np.empty(0, np.int64)
+    clash = np.zeros(len(at), bool)
+    if again.any():
+        few = copies_of(t, again)
+        new = changed(few["digest"])
+        other = changed(few["text"]) & ~new  # the byte verification
+        clash[np.diff(np.append(at, len(t))) > 1] = np.maximum.reduceat(other, np.flatnonzero(new))
+    return pa.table({"digest": digest.take(at), "key": key, "n": np.diff(np.append(at, len(t))), "clash": clash})
+
+
+@gives_back
 def compacted(batches: Batches) -> Batches:
     """Merged runs, sorted by digest -> one entry for each digest."""
     held = None
@@ -91,9 +115,12 @@ def compacted(batches: Batches) -> Batches:
 def index_of(rows: DataFrame, memtable_bytes: int) -> DataFrame:
     """rows (digest, text, key) -> the compacted index."""
 
+    @gives_back
     def flush(batches: Batches) -> Batches:
         for t in memtables(batches, memtable_bytes):
-            yield from run_of(t).to_batches(max_chunksize=1 << 16)
+            run = run_of(t)
+            del t
+            yield from run.to_batches(max_chunksize=1 << 16)
 
     runs = stash(rows.mapInArrow(flush, RUN), "dedup-runs")
     return stash(runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(compacted, INDEX), "dedup-index")
@@ -108,6 +135,7 @@ def clashes(rows: DataFrame, index: DataFrame, memtable_bytes: int) -> DataFrame
     """The digests that different texts share: found in a memtable, or by comparing the hits' texts between runs."""
     held = rows.sparkSession.sparkContext.broadcast(hit_filter(index.filter("runs > 1")))
 
+    @gives_back
     def send(batches: Batches) -> Batches:
         words = held.value
 
@@ -118,8 +146,16 @@ def clashes(rows: DataFrame, index: DataFrame, memtable_bytes: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["digest", "text"])
 
         for t in memtables(passing(), memtable_bytes):
-            yield from t.filter(pa.array(changed(t["digest"]) | changed(t["text"]))).to_batches(max_chunksize=500)
-
+            again = by_digest(t)[2]
+            few = copies_of(t, again)
+            few = few.filter(pa.array(changed(few["digest"]) | changed(few["text"])))
+            rest = t.filter(pa.array(~again)).to_batches(max_chunksize=500)
+            del t
+            yield from few.to_batches(max_chunksize=500)
+            del few
+            yield from rest
+
+    @gives_back
     def compare(batches: Batches) -> Batches:
         digest = text = None
         for b in batches:

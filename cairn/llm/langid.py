@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import crc_mod3, operator
+from cairn.llm.common import crc_mod3, gives_back, operator
 from cairn.llm.mixing import HASH_BITS, hash60
 
 GRAMS, DIM, BATCH, PART = (1, 2, 3), 1 << 13, 64, 1 << 20
@@ -104,6 +104,7 @@ def _scored(docs: DataFrame, model: Model, names: list[str], text_col: str) -> D
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks floats: of fixed size
     width, own = len(names), names.index(text_col) if text_col in names else len(names) + 1
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:

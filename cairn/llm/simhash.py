@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_batches, maybe_broadcast, operator, stash, text_key, without
+from cairn.llm.common import arrow_batches, gives_back, maybe_broadcast, operator, stash, text_key, without
 from cairn.llm.components import connected_components
 from cairn.llm.shingles import Words, simhashes, slices
 
@@ -34,6 +34,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -122,6 +123,7 @@ def list_links(fps: np.ndarray, mask: int, distance: int) -> Pairs:
 def links_of_lists(post: DataFrame, distance: int) -> DataFrame:
     """post (mask, key, fp) -> edges (mask 0, a, b), and the rows of lists that are too long to hold (their mask, a = fp)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of one list
         over = None

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bit_filter import FILTER_BITS, MAX_FILTER_BITS, bit_filter, may_hold
-from cairn.llm.common import maybe_broadcast, stash
+from cairn.llm.common import gives_back, maybe_broadcast, stash
 from cairn.llm.components import connected_components
 from cairn.llm.shingles import Words, simhashes, slices
 from cairn.llm.simhash import identified, relabelled
@@ -45,6 +45,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, set_width:
     """id, th, fp (SimHash), sk (key of the shingle set, null without words), n (its size), wide (its least hashes, twice the prefix)."""
     num, den = similarity
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, sk, size, wide = [], [], [], []
@@ -90,6 +91,7 @@ def candidates(base: DataFrame, num: int, den: int) -> DataFrame:
     if many * FILTER_BITS <= MAX_FILTER_BITS:
         held = base.sparkSession.sparkContext.broadcast(bit_filter(shared.select(F.xxhash64("h").alias("x")), many))
 
+        @gives_back
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = held.value
             for b in batches:
@@ -163,6 +165,7 @@ def whole_sets(docs: DataFrame, base: DataFrame, asked: DataFrame, id_col: str,
     rows = base.select("id", "th", "sk").join(maybe_broadcast(asked, n), "sk").groupBy("sk").agg(F.min(F.struct("id", "th")).alias("of"))
     rows = stash(rows.select("sk", F.col("of.id").alias("_id"), F.col("of.th").alias("_th")), "sets-asked")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [x for part in slices(b.column(1).to_pylist()) for x in Words(part).sets(width)]

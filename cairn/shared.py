@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,6 +70,26 @@ def arrow_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> It
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def gives_back(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task's function that, at its end, returns to the system what it freed: the worker waits for the next task beside an executor that may need the memory."""
+
+    @wraps(run)
+    def task(*args: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes at its end what was stashed in it. More paths to delete can be appended."""
